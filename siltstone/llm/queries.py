@@ -5,13 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siltstone.llm.language import fit_language, identify_language
+from siltstone.llm.licenses import license_oracle, scan_licenses
 from siltstone.llm.secrets import scan_secrets
+from siltstone.llm.topk import TOP_K_ORACLE, quantised, top_k
 from siltstone.llm.toxicity import fit_toxicity, score_toxicity
 from siltstone.session import table
 
 
+def op1_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), quantised(F.col("embedding")).alias("v"))
+    return top_k(vectors, vectors.filter(F.col("id") % 20 == 0))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
@@ -28,6 +40,8 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_top_k_search": op1_top_k_search,
+        "op3_license_scan": op3_license_scan,
         "op4_toxicity": op4_toxicity,
         "op5_language_id": op5_language_id,
         "op9_secret_scan": op9_secret_scan,
@@ -35,4 +49,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_top_k_search": TOP_K_ORACLE,
+        "op3_license_scan": license_oracle(),
+    }
