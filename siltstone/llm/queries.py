@@ -9,12 +9,20 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.language import fit_language, identify_language
 from siltstone.llm.licenses import license_oracle, scan_licenses
+from siltstone.llm.packing import pack
 from siltstone.llm.secrets import scan_secrets
 from siltstone.llm.topk import TOP_K_ORACLE, quantised, top_k
 from siltstone.llm.toxicity import fit_toxicity, score_toxicity
 from siltstone.session import table
 
 
+def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the public vocabulary file is; the package is installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), quantised(F.col("embedding")).alias("v"))
     return top_k(vectors, vectors.filter(F.col("id") % 20 == 0))
@@ -34,6 +42,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(docs, fit_language(docs))
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -44,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_license_scan": op3_license_scan,
         "op4_toxicity": op4_toxicity,
         "op5_language_id": op5_language_id,
+        "op8_best_fit_packing": op8_best_fit_packing,
         "op9_secret_scan": op9_secret_scan,
     }
 
