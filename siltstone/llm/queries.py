@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.llm.decontaminate import CONTAMINATION_ORACLE, find_contamination
 from siltstone.llm.language import fit_language, identify_language
 from siltstone.llm.licenses import license_oracle, scan_licenses
 from siltstone.llm.packing import pack
@@ -28,6 +29,10 @@ def op1_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.filter(F.col("id") % 20 == 0))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -53,6 +58,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_top_k_search": op1_top_k_search,
+        "op2_decontamination": op2_decontamination,
         "op3_license_scan": op3_license_scan,
         "op4_toxicity": op4_toxicity,
         "op5_language_id": op5_language_id,
@@ -64,5 +70,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_top_k_search": TOP_K_ORACLE,
+        "op2_decontamination": CONTAMINATION_ORACLE,
         "op3_license_scan": license_oracle(),
     }
