@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from siltstone.llm.decontaminate import CONTAMINATION_ORACLE, find_contamination
 from siltstone.llm.language import fit_language, identify_language
 from siltstone.llm.licenses import license_oracle, scan_licenses
+from siltstone.llm.lm import LmParams, score, train
 from siltstone.llm.packing import pack
 from siltstone.llm.secrets import scan_secrets
 from siltstone.llm.topk import TOP_K_ORACLE, quantised, top_k
@@ -47,6 +48,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(docs, fit_language(docs))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, params = table(spark, sf_dir, "documents"), LmParams()
+    fold = F.crc32(F.col("doc_id").cast("string")) % params.fold
+    return score(docs, train(docs.filter(fold != params.held), params), F.coalesce(fold == params.held, F.lit(False)))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -62,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_license_scan": op3_license_scan,
         "op4_toxicity": op4_toxicity,
         "op5_language_id": op5_language_id,
+        "op6_lm_scoring": op6_lm_scoring,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_secret_scan": op9_secret_scan,
     }
