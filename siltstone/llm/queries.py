@@ -13,6 +13,7 @@ from siltstone.llm.licenses import license_oracle, scan_licenses
 from siltstone.llm.lm import LmParams, score, train
 from siltstone.llm.packing import pack
 from siltstone.llm.secrets import scan_secrets
+from siltstone.llm.substrings import SUBSTRING_ORACLE, mark_repeats
 from siltstone.llm.topk import TOP_K_ORACLE, quantised, top_k
 from siltstone.llm.toxicity import fit_toxicity, score_toxicity
 from siltstone.session import table
@@ -54,6 +55,10 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs.filter(fold != params.held), params), F.coalesce(fold == params.held, F.lit(False)))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mark_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -70,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": op4_toxicity,
         "op5_language_id": op5_language_id,
         "op6_lm_scoring": op6_lm_scoring,
+        "op7_substring_dedup": op7_substring_dedup,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_secret_scan": op9_secret_scan,
     }
@@ -79,5 +85,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_top_k_search": TOP_K_ORACLE,
         "op2_decontamination": CONTAMINATION_ORACLE,
+        "op7_substring_dedup": SUBSTRING_ORACLE,
         "op3_license_scan": license_oracle(),
     }
