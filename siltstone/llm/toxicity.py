@@ -98,19 +98,24 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, params: ToxicityParams = To
                 lists += np.split(found.astype(np.int32), np.searchsorted(at, np.arange(1, high - low)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(lists, pa.list_(pa.int32()))], ["y", "h", "f"])
 
-    local = rows.mapInArrow(features, "y int, h long, f array<int>").toPandas().sort_values("h", kind="stable")
-    return _fit([np.asarray(f, np.int64) for f in local["f"]], local["y"].to_numpy(np.int64), params)
+    local = rows.mapInArrow(features, "y int, h long, f array<int>").toArrow().combine_chunks()
+    if not local.num_rows:
+        return _fit(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), params)
+    lists = local.column("f").chunk(0)
+    return _fit(lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()), local.column("y").to_numpy().astype(np.int64), params)
 
 
-def _fit(lists: list[np.ndarray], y: np.ndarray, params: ToxicityParams) -> ToxicityModel:
+def _fit(flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, params: ToxicityParams) -> ToxicityModel:
+    """flat: the buckets of all rows, one row after the other; sizes: how many each row has."""
     size = 1 << params.bits
     kept, weights = np.zeros(size, bool), np.zeros(size, np.float32)
     positive = int(y.sum())
     if positive in (0, len(y)):
         return ToxicityModel(kept, weights, 30.0 if positive else -30.0, params.sizes, params.bits)
-    rows = np.repeat(np.arange(len(y)), [len(f) for f in lists])
-    flat = np.concatenate(lists)
-    p, q = (np.bincount(flat[y[rows] == c], minlength=size).astype(float) for c in (1, 0))
+    toxic = np.repeat(y == 1, sizes)
+    both = np.bincount(flat, minlength=size).astype(float)
+    p = np.bincount(flat[toxic], minlength=size).astype(float)
+    q = both - p
     n_p, n_q = positive, len(y) - positive
     rate = (p + q + 1) / (n_p + n_q + 2)
     z = np.abs(p / n_p - q / n_q) / np.sqrt(rate * (1 - rate) * (1 / n_p + 1 / n_q))
@@ -120,8 +125,8 @@ def _fit(lists: list[np.ndarray], y: np.ndarray, params: ToxicityParams) -> Toxi
     ratio = np.log(((p + 1) / (p + 1).sum()) / ((q + 1) / (q + 1).sum()))
 
     ids = np.cumsum(kept) - 1
-    held = kept[flat]
-    at, col = rows[held], ids[flat[held]]
+    held = np.flatnonzero(kept[flat])
+    at, col = np.searchsorted(np.cumsum(sizes), held, "right"), ids[flat[held]]
     k = int(kept.sum())
     if not k:
         return ToxicityModel(kept, weights, float(np.log(n_p / n_q)), params.sizes, params.bits)
