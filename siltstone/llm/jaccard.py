@@ -32,8 +32,9 @@ from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from siltstone.llm.components import connected_components
 from siltstone.llm.wordbytes import BLANKS, Words, gram_hashes, mixed, one_row_grams, text_slices
@@ -269,10 +270,9 @@ def _candidates(classes: DataFrame, params: JaccardParams) -> DataFrame:
     return dealt.mapInArrow(lambda batches: _sketch_links(batches, params), "a long, b long")
 
 
-def jaccard_classes(docs: DataFrame, params: JaccardParams = JaccardParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: the id, class_id, copy_of (least id of an equal set) and n_links."""
+def _linked_classes(docs: DataFrame, params: JaccardParams, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(id, node) of every row, and (node, rep, class_id, n_links) of every class."""
     ensure_checkpoint_dir(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
     rows = _classes(docs, params, id_col, text_col).checkpoint()
     classes = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("sketch").alias("sketch"))
     classes = classes.checkpoint()
@@ -305,10 +305,40 @@ def jaccard_classes(docs: DataFrame, params: JaccardParams = JaccardParams(), id
     facts = facts.select("node", "rep", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("linked", F.lit(0)).alias("linked"))
     least = facts.groupBy("root").agg(F.min("rep").alias("class_id"))
     facts = facts.join(least, "root").select("node", "rep", "class_id", (F.col("copies") - 1 + F.col("linked")).alias("n_links"))
-    out = rows.select("id", "node").join(facts, "node", "left")
+    return rows.select("id", "node"), facts
+
+
+def jaccard_classes(docs: DataFrame, params: JaccardParams = JaccardParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: the id, class_id, copy_of (least id of an equal set) and n_links."""
+    rows, facts = _linked_classes(docs, params, id_col, text_col)
+    kind = docs.schema[id_col].dataType.simpleString()
+    out = rows.join(facts, "node", "left")
     return out.select(
         F.col("id").cast(kind).alias(id_col),
         F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("rep")).alias("copy_of"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
+
+
+def keep_one_of_each(docs: DataFrame, params: JaccardParams = JaccardParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each class, the row with its least id, with all its columns; rows without words all stay."""
+    _, facts = _linked_classes(docs, params, id_col, text_col)
+    # of several sets with the class's least id, the least set
+    kept = facts.filter(F.col("rep").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("node").alias("_node")).select("_node", F.col("class_id").alias("_rep"))
+    at, names = docs.columns.index(text_col), docs.columns
+    plain = docs.toDF(*[f"_{i}" for i in range(len(names))])
+    own = f"_{names.index(id_col)}"
+
+    def tag(batches):
+        for batch in batches:
+            for part in text_slices(batch, f"_{at}"):
+                sets = gram_sets(part.column(at), params.n)
+                nodes = pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns, nodes], [*part.schema.names, "_node"])
+
+    tagged = plain.mapInArrow(tag, StructType([*plain.schema.fields]).add("_node", LongType()))
+    chosen = tagged.filter("_node IS NOT NULL").join(kept.hint("shuffle_hash"), "_node").filter(F.col(own).eqNullSafe(F.col("_rep")))
+    rank = F.row_number().over(Window.partitionBy("_node", own).orderBy(F.xxhash64(*plain.columns)))
+    chosen = chosen.withColumn("_r", rank).filter("_r = 1").select(*plain.columns)
+    return chosen.unionAll(tagged.filter("_node IS NULL").select(*plain.columns)).toDF(*names)
