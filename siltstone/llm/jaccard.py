@@ -135,6 +135,33 @@ def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _joining(linked: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
+    """Links between two sides that join what links within the sides do not: a spanning forest of the rest."""
+    inner = linked & (side[:, None] == side[None, :])
+    label = np.arange(len(linked))
+    for u, v in _forest(inner):  # a node's edge comes after its parent's
+        label[v] = label[u]
+    at = np.argwhere(linked & (side[:, None] < side[None, :]))
+    if not len(at):
+        return []
+    _, first = np.unique(label[at[:, 0]] * len(linked) + label[at[:, 1]], return_index=True)
+    parent = {int(x): int(x) for x in np.unique(label)}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for u, v in at[first].tolist():
+        a, b = root(int(label[u])), root(int(label[v]))
+        if a != b:
+            parent[a] = b
+            out.append((u, v))
+    return out
+
+
 def _sketch_links(batches, params: JaccardParams):
     """Spanning forests of the buckets' classes whose sketches agree enough."""
     need = (params.threshold - params.margin) * params.coordinates
@@ -153,7 +180,9 @@ def _sketch_links(batches, params: JaccardParams):
             same = np.zeros((len(node), len(node)), np.int16)
             for i in range(sketch.shape[1]):
                 same += sketch[:, None, i] == sketch[None, :, i]
-            for u, v in _forest(same >= need):
+            linked, side = same >= need, group.column(index("chunk")).to_numpy()
+            # chunks that meet give links between them only: each chunk's own come where it meets itself
+            for u, v in _forest(linked) if (side == side[0]).all() else _joining(linked, side):
                 if node[u] != node[v]:
                     a.append(int(node[u]))
                     b.append(int(node[v]))
@@ -254,18 +283,18 @@ def _candidates(classes: DataFrame, params: JaccardParams) -> DataFrame:
         members = members.checkpoint()
         counts = members.groupBy("path").count().filter("count > 1")
         several = members.join(counts, "path")
-        small = several.filter(F.col("count") <= params.small).select("node", "path", F.lit(0).alias("low"), F.lit(0).alias("high"))
+        small = several.filter(F.col("count") <= params.small).select("node", "path", F.lit(0).alias("chunk"), F.lit(0).alias("low"), F.lit(0).alias("high"))
         found = small if found is None else found.unionAll(small)
         large = several.filter(F.col("count") > params.small)
         if level == params.depth:
-            found = found.unionAll(_chunk_pairs(large, "count", params.small).select("node", "path", "low", "high"))
+            found = found.unionAll(_chunk_pairs(large, "count", params.small).select("node", "path", "chunk", "low", "high"))
         else:
             at = lambda salt: F.pmod(F.xxhash64("path", F.lit(salt)), F.lit(t)).cast("int") + 1
             child = lambda salt: F.xxhash64("path", at(salt), F.element_at("sketch", at(salt)))
             second = F.pmod(F.xxhash64("path", F.lit("two")), F.lit(4)) == 0
             paths = F.array_distinct(F.when(second, F.array(child("a"), child("b"))).otherwise(F.array(child("a"))))
             members = large.join(sketch, "node").select("node", F.explode(paths).alias("path"))
-    keyed = found.join(sketch, "node").select(F.xxhash64("path", "low", "high").alias("key"), "node", "sketch")
+    keyed = found.join(sketch, "node").select(F.xxhash64("path", "low", "high").alias("key"), "node", "chunk", "sketch")
     dealt = keyed.repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(lambda batches: _sketch_links(batches, params), "a long, b long")
 
