@@ -2,27 +2,34 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from siltstone.session import table
+from siltstone import registry
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES: tuple[str, ...] = ()
+_MODULES = ("windows", "filters", "aggregates", "joins", "paging", "text", "dates", "scores", "resolution", "semistructured", "sources", "streams")
+
+
+def _load() -> None:
+    for name in _MODULES:
+        importlib.import_module(f"siltstone.plans.{name}")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events counted by type and day."""
-    events = table(spark, sf_dir, "events")
-    return events.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    """The latest evidence of each project."""
+    _load()
+    return registry.QUERIES["latest_evidence_per_project"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    _load()
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(registry.ORACLES)
