@@ -279,22 +279,25 @@ def _candidates(classes: DataFrame, params: JaccardParams) -> DataFrame:
     members = classes.select("node", F.inline(runs))
     sketch = classes.select("node", "sketch")
     found = None
+    at = lambda path, salt: F.pmod(F.xxhash64(path, F.lit(salt)), F.lit(t)).cast("int") + 1
+    child = lambda path, salt: F.xxhash64(path, at(path, salt), F.element_at("sketch", at(path, salt)))
+    second = lambda path: F.pmod(F.xxhash64(path, F.lit("two")), F.lit(4)) == 0
+    children = lambda path: F.when(second(path), F.array(child(path, "a"), child(path, "b"))).otherwise(F.array(child(path, "a")))
     for level in range(1, params.depth + 1):
         members = members.checkpoint()
         counts = members.groupBy("path").count().filter("count > 1")
         several = members.join(counts, "path")
-        small = several.filter(F.col("count") <= params.small).select("node", "path", F.lit(0).alias("chunk"), F.lit(0).alias("low"), F.lit(0).alias("high"))
-        found = small if found is None else found.unionAll(small)
-        large = several.filter(F.col("count") > params.small)
-        if level == params.depth:
-            found = found.unionAll(_chunk_pairs(large, "count", params.small).select("node", "path", "chunk", "low", "high"))
-        else:
-            at = lambda salt: F.pmod(F.xxhash64("path", F.lit(salt)), F.lit(t)).cast("int") + 1
-            child = lambda salt: F.xxhash64("path", at(salt), F.element_at("sketch", at(salt)))
-            second = F.pmod(F.xxhash64("path", F.lit("two")), F.lit(4)) == 0
-            paths = F.array_distinct(F.when(second, F.array(child("a"), child("b"))).otherwise(F.array(child("a"))))
-            members = large.join(sketch, "node").select("node", F.explode(paths).alias("path"))
-    keyed = found.join(sketch, "node").select(F.xxhash64("path", "low", "high").alias("key"), "node", "chunk", "sketch")
+        last = level == params.depth
+        held = several if last else several.filter(F.col("count") <= params.small)
+        held = held.select("node", "path", "count")
+        found = held if found is None else found.unionAll(held)
+        if not last:
+            # a class meets its sketch once for all its paths, of which it has a few for each run
+            large = several.filter(F.col("count") > params.small).groupBy("node").agg(F.collect_list("path").alias("paths"))
+            below = F.array_distinct(F.flatten(F.transform("paths", children)))
+            members = large.join(sketch, "node").select("node", F.explode(below).alias("path"))
+    keyed = found.groupBy("node").agg(F.collect_list(F.struct("path", "count")).alias("held")).join(sketch, "node").select("node", "sketch", F.inline("held"))
+    keyed = _chunk_pairs(keyed, "count", params.small).select(F.xxhash64("path", "low", "high").alias("key"), "node", "chunk", "sketch")
     dealt = keyed.repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(lambda batches: _sketch_links(batches, params), "a long, b long")
 
