@@ -55,8 +55,8 @@ def estimated_delivery(status: Column, units: Column, as_of: Column) -> Column:
     return F.when(base.isNotNull(), F.make_date(F.ceil(F.year(as_of) + base + size).cast("int"), F.lit(7), F.lit(1)))
 
 
-# The month that a part of a year begins with.
-SEASONS = {"Q1": 1, "Q2": 4, "Q3": 7, "Q4": 10, "EARLY": 1, "MID": 6, "LATE": 10, "SPRING": 4, "SUMMER": 7, "FALL": 10, "WINTER": 1}
+# The month that stands for a part of a year.
+SEASONS = {"Q1": 2, "Q2": 5, "Q3": 8, "Q4": 11, "EARLY": 3, "MID": 7, "LATE": 11, "SPRING": 4, "SUMMER": 7, "FALL": 10, "WINTER": 1}
 
 
 def delivery_target(c: Column) -> Column:

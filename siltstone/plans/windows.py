@@ -73,8 +73,9 @@ def gate_priority_dedupe(spark, sf_dir):
 )
 def source_health(spark, sf_dir):
     (events,) = views(spark, sf_dir, "activity")
-    last = lambda kind: F.unix_micros(F.max(F.when(F.col("event_type") == kind, F.col("occurred_at"))))
-    return events.groupBy("source_id").agg(last("signup").alias("last_signup"), last("error").alias("last_error"), F.unix_micros(F.max("occurred_at")).alias("last_any"))
+    micros = lambda c: F.unix_micros(F.max(c).cast("timestamp"))
+    last = lambda kind: micros(F.when(F.col("event_type") == kind, F.col("occurred_at")))
+    return events.groupBy("source_id").agg(last("signup").alias("last_signup"), last("error").alias("last_error"), micros(F.col("occurred_at")).alias("last_any"))
 
 
 @query(
