@@ -5,10 +5,13 @@ All take and return columns, stay in generated code and give null for null.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from siltstone.functions import fixed
 
@@ -157,35 +160,48 @@ def trigram_similarity(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(shared.cast("double"), (F.size(x) + F.size(y) - shared).cast("double")), F.lit(0.0))
 
 
-def _indel_ratio(a: Column, b: Column) -> Column:
-    """100 * (1 - insertions and deletions / both lengths), by the longest common subsequence."""
-    la, lb = F.length(a), F.length(b)
-    chars = F.filter(F.split(b, ""), lambda x: x != "")
-    start = F.transform(F.sequence(F.lit(0), lb), lambda i: F.lit(0))
-    # a row of the table of common subsequences for each character of a
-    row = F.aggregate(
-        F.filter(F.split(a, ""), lambda x: x != ""),
-        start,
-        lambda prev, x: F.aggregate(
-            F.sequence(F.lit(1), F.size(chars)),
-            F.array(F.lit(0)),
-            lambda acc, j: F.array_append(acc, F.when(F.get(chars, j - 1) == x, F.get(prev, j - 1) + 1).otherwise(F.greatest(F.get(prev, j), F.element_at(acc, -1)))),
-        ),
-    )
-    common = F.when((la == 0) | (lb == 0), 0).otherwise(F.element_at(row, -1))
-    return F.when(la + lb == 0, 100.0).otherwise(200.0 * common / (la + lb))
-
-
-def token_set_ratio(a: Column, b: Column) -> Column:
+def common_subsequence(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a bit for each character of a."""
+    at: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        at[ch] = at.get(ch, 0) | 1 << i
+    free = full = (1 << len(a)) - 1
+    for ch in b:
+        hit = free & at.get(ch, 0)
+        free = (free + hit) | (free - hit)
+    return len(a) - (free & full).bit_count()
+
+
+def set_ratio(a: str, b: str) -> float:
     """The greatest similarity among shared tokens and each side's sorted tokens, 0 to 100."""
-    tokens = lambda c: F.array_sort(F.array_distinct(F.filter(F.split(F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ")), " "), lambda t: t != "")))
-    x, y = tokens(a), tokens(b)
-    both = F.array_join(F.array_intersect(x, y), " ")
-    left = F.trim(F.concat_ws(" ", both, F.array_join(F.array_except(x, y), " ")))
-    right = F.trim(F.concat_ws(" ", both, F.array_join(F.array_except(y, x), " ")))
-    subset = (both != "") & ((F.size(F.array_except(x, y)) == 0) | (F.size(F.array_except(y, x)) == 0))
-    scores = [_indel_ratio(left, right), F.when(both != "", _indel_ratio(both, left)).otherwise(0.0), F.when(both != "", _indel_ratio(both, right)).otherwise(0.0)]
-    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).when(subset, 100.0).otherwise(F.greatest(*scores))
+    x, y = set(re.findall("[a-z0-9]+", a.lower())), set(re.findall("[a-z0-9]+", b.lower()))
+    if not x or not y:
+        return 0.0
+    both, own, other = sorted(x & y), sorted(x - y), sorted(y - x)
+    if both and not (own and other):
+        return 100.0
+    sides = [" ".join(both + own), " ".join(both + other)]
+    pairs = [(sides[0], sides[1])] + [(" ".join(both), side) for side in sides if both]
+    return max(200.0 * common_subsequence(p, q) / (len(p) + len(q)) for p, q in pairs)
+
+
+@F.pandas_udf(DoubleType())
+def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Token-set ratio of two text columns; 0 where either is null or has no token.
+
+    No built-in function gives a common subsequence, so pairs go to Python in Arrow batches
+    and each distinct pair of a batch is compared once.
+    """
+    known: dict[tuple[str, str], float] = {}
+    out = []
+    for pair in zip(a, b):
+        if pair[0] is None or pair[1] is None:
+            out.append(0.0)
+            continue
+        if pair not in known:
+            known[pair] = set_ratio(*pair)
+        out.append(known[pair])
+    return pd.Series(out, dtype="float64")
 
 
 def permit_number(c: Column) -> Column:
