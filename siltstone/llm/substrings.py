@@ -53,7 +53,7 @@ class SubstringParams:
     window: int = 20
     k: int = 8
     hot: int = 1000
-    block_chars: int = 16_000_000
+    block_chars: int = 6_000_000
 
 
 class Units:
@@ -131,7 +131,7 @@ def _slices(docs: pa.Table):
 
 def mark_repeats(docs: DataFrame, params: SubstringParams = SubstringParams(), id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """Per row: the id, n_words, n_removed, kept_sha256, and with keep_text the kept words."""
-    parts, window, hot = parts_of(docs), params.window, params.hot
+    parts, window, hot = 2 * parts_of(docs), params.window, params.hot  # a shard is a group of rows, not a partition
     order = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc")
     kind = docs.schema[id_col].dataType.simpleString()
     all_docs = blocked(docs.withColumn(text_col, F.coalesce(F.col(text_col), F.lit(""))), id_col, text_col, params.block_chars, order)
