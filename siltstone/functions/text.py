@@ -94,7 +94,7 @@ def address_parts(c: Column, city: Column | None = None, state: Column | None =
     street segment. Of the others, the last with a state or ZIP gives these, and the one
     before it the city, unless they are given.
     """
-    segments = F.filter(F.transform(F.split(F.upper(c), ","), F.trim), lambda s: s != "")
+    segments = F.filter(F.transform(F.split(F.upper(c), ","), lambda s: F.trim(s)), lambda s: s != "")
     unit_pattern = r"^(APT|APARTMENT|UNIT|STE|SUITE|#|RM|ROOM|FL|FLOOR)\b.*"
     is_unit = lambda s: s.rlike(unit_pattern) | s.startswith("#")
     first = F.get(segments, F.lit(0))
@@ -103,7 +103,7 @@ def address_parts(c: Column, city: Column | None = None, state: Column | None =
     rest = F.slice(segments, 2, 1000)
     unit = F.coalesce(F.get(F.filter(rest, is_unit), F.lit(0)), inline_unit)
     places = F.filter(rest, lambda s: ~is_unit(s))
-    last = F.element_at(places, -1)
+    last = F.get(places, F.size(places) - 1)
     state_zip = last.rlike(r"^[A-Z]{2}(\s+\d{5}(-\d{4})?)?$|^\d{5}(-\d{4})?$")
     found_state = F.when(state_zip, F.nullif(F.regexp_extract(last, r"^([A-Z]{2})\b", 1), F.lit("")))
     found_city = F.when(state_zip, F.get(places, F.size(places) - 2)).otherwise(last)
@@ -231,7 +231,7 @@ def permit_ids_in_urls(urls: Column) -> Column:
 
 def ordered_distinct(a: Column) -> Column:
     """Distinct non-empty values, in order of first appearance."""
-    return F.array_distinct(F.filter(F.transform(a, F.trim), lambda x: x.isNotNull() & (x != "")))
+    return F.array_distinct(F.filter(F.transform(a, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")))
 
 
 def field_label(c: Column, overrides: dict[str, str] | None = None) -> Column:

@@ -1 +1,27 @@
-"""Queries: streams."""
+"""Streaming queries and ordered folds."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from siltstone.functions.dates import cost_day
+from siltstone.operators.budget import reserve
+from siltstone.registry import query
+from siltstone.session import table
+from siltstone.streaming.ingest import deduplicated, run_to_table, stream_table
+
+
+@query("SELECT DISTINCT event_id, user_id AS source_id, event_type FROM events")
+def stream_incremental_dedupe(spark, sf_dir):
+    events = stream_table(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    twice = events.unionAll(events)  # every row is delivered twice
+    return run_to_table(deduplicated(twice, ["event_id"], "at").select("event_id", F.col("user_id").alias("source_id"), "event_type"))
+
+
+@query()
+def budget_reserve_fold(spark, sf_dir):
+    at = F.col("ts").cast("timestamp")
+    rows = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("bucket"), cost_day(at).cast("string").alias("day"), F.unix_micros(at).alias("at_us"), "event_id", F.round(F.col("value") * 100).cast("long").alias("cents"),
+    )
+    return reserve(rows, 20_000, 30_000)

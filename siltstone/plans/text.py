@@ -1 +1,60 @@
-"""Queries: text."""
+"""Text, name, identifier and address queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from siltstone.functions import text
+from siltstone.model import views
+from siltstone.registry import query
+from siltstone.session import table
+
+
+@query(
+    """SELECT s_suppkey AS id, CASE s_suppkey % 3 WHEN 0 THEN 'SUPPLIER ' ELSE 'ACME AND SONS ' END || CAST(s_suppkey AS VARCHAR) AS name, CASE s_suppkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS suffixes FROM supplier"""
+)
+def normalise_developer(spark, sf_dir):
+    number = F.col("s_suppkey").cast("string")
+    raw = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("The Supplier "), number, F.lit(", L.C LLC"))).when(F.col("s_suppkey") % 3 == 1, F.concat(F.lit("Acme & Sons "), number, F.lit(" Co., Inc."))).otherwise(F.concat(F.lit("acme & sons "), number))
+    raw = F.regexp_replace(raw, "L.C ", "")
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), text.developer_name(raw).alias("name"), text.legal_suffix_count(raw).alias("suffixes"))
+
+
+@query("SELECT o_orderkey AS id, lpad(CAST(o_orderkey % 100 AS VARCHAR), 5, '0') || '-' || lpad(CAST(o_custkey AS VARCHAR), 5, '0') || '-' || lpad('7', 5, '0') AS permit, CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE '0012' || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0') || '009' END AS parcel FROM orders")
+def permit_and_parcel_numbers(spark, sf_dir):
+    key = F.col("o_orderkey")
+    permit = text.permit_number(F.concat_ws("-", (key % 100).cast("string"), F.col("o_custkey").cast("string"), F.lit("7")))
+    parcel = text.parcel_number(F.when(key % 2 == 0, "1a").otherwise("12"), (key % 1000).cast("string"), F.lit("9"))
+    return table(spark, sf_dir, "orders").select(key.alias("id"), permit.alias("permit"), parcel.alias("parcel"))
+
+
+@query(
+    """SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN CAST(c_custkey AS VARCHAR) ELSE c_name END AS cleaned, CASE c_custkey % 4 WHEN 2 THEN CAST(c_custkey AS BIGINT) END AS number FROM customer"""
+)
+def clean_values(spark, sf_dir):
+    key = F.col("c_custkey")
+    raw = F.when(key % 4 == 0, F.lit("  ")).when(key % 4 == 1, F.lit(" -- ")).when(key % 4 == 2, F.concat(key.cast("string"), F.lit(".0"))).otherwise(F.concat(F.lit(" "), F.col("c_name")))
+    return table(spark, sf_dir, "customer").select(key.alias("id"), text.clean_identifier(raw).alias("cleaned"), text.parse_int(raw).alias("number"))
+
+
+@query()
+def url_canonical(spark, sf_dir):
+    url = text.canonical_url(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", url.alias("url"), F.sha2(url, 256).alias("url_hash"))
+
+
+@query()
+def address_normalised(spark, sf_dir):
+    (project,) = views(spark, sf_dir, "project")
+    parts = text.address_parts(F.concat(F.col("address"), F.lit(", Unit 4, DTLA, CA 90012")), market="los_angeles")
+    return project.select("project_id", parts.alias("a")).select("project_id", "a.street", "a.unit", "a.city", "a.state", "a.zip", "a.canonical")
+
+
+@query(
+    """SELECT project_id, CASE project_id % 3 WHEN 0 THEN 'Under Construction' WHEN 1 THEN 'Pre-Leasing/Pre-Selling' END AS status, CASE project_id % 3 WHEN 0 THEN 'under_construction' WHEN 1 THEN 'pre_leasing_pre_selling' ELSE 'no_such_thing' END AS key FROM project""",
+    "project",
+)
+def status_keys(spark, sf_dir):
+    (project,) = views(spark, sf_dir, "project")
+    raw = F.when(F.col("project_id") % 3 == 0, " under-construction").when(F.col("project_id") % 3 == 1, "Pre-Leasing/Pre-Selling").otherwise("no such thing")
+    return project.select("project_id", text.coerced_status(F.trim(raw)).alias("status"), text.status_key(F.trim(raw)).alias("key"))
