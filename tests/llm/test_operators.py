@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from dataclasses import fields, replace
 from math import log10
 
 import duckdb
@@ -93,6 +94,27 @@ def test_lm_base(spark, texts):
         assert r.score < 0
 
 
+@pytest.mark.parametrize("bound", sorted(f.name for f in fields(LmParams) if f.name not in ("pair_weight", "hashes", "fold", "held")))
+def test_lm_score_under_any_bound(spark, docs, texts, bound):
+    """What bounds a task's work changes no score: words and pairs seen once count under any bound."""
+    some = sorted(texts)[:60]
+    lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+    tokens = {i: [*re.findall("[^\x20\x09-\x0d]+", lower(texts[i])), None] for i in some}
+    follows = lambda ws: list(zip([None, *ws], ws))
+    train_on = [tokens[i] for i in some if crc(i) % 7 != 2]
+    one, two = Counter(w for ws in train_on for w in ws), Counter(p for ws in train_on for p in follows(ws))
+    n, v = sum(one.values()), len(one)
+    value = lambda c: 1.5 * 2.0 ** (c.bit_length() - 1) - 0.5 if c else 0.0
+    params = replace(LmParams(hashes=30), **{bound: 2000})  # 30 hashes: no false positives among these few
+    few = docs.filter(F.col("doc_id").isin(some))
+    fold = F.crc32(F.col("doc_id").cast("string")) % 7
+    got = {r.doc_id: r.score for r in score(few, train(few.filter(fold != 2), params), F.coalesce(fold == 2, F.lit(False))).collect()}
+    assert got.keys() == set(some) and any(c == 1 for c in one.values())
+    for i in some:
+        want = sum(log10(0.6 * (min(value(two[a, b]) / max(value(one[a]), 1), 1) if one[a] else 0) + 0.4 * (value(one[b]) + 1) / (n + v + 1)) for a, b in follows(tokens[i]))
+        assert got[i] == pytest.approx(want, rel=1e-9)
+
+
 def test_packing_round_trip(spark, texts):
     tokenizer = Tokenizer.from_file(queries.vocabulary_path())
     rows = queries.queries()["op8_best_fit_packing"](spark, SF).collect()
