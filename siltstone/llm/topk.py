@@ -18,8 +18,10 @@ block of each, so a query set of any size meets every row without being broadcas
 Defined results: a vector that is null or empty, holds a null or a non-finite component,
 or whose id is null takes no part, as query or candidate; so does one of another length
 than the others that it meets. A query has no row for itself (its own id). Rows repeated
-with the same id and vector are one candidate. Ties go to smaller ids; with fewer than k
-candidates all are returned. Scores must fit a long. Other columns are not read and an
+with the same id and vector are one candidate and one query. Different vectors of one id
+are all candidates and all queries: the id's rows are the k best scores of any of its
+vectors with any candidate, and a candidate id may recur. Ties go to smaller ids; with
+fewer than k candidates all are returned. Scores must fit a long. Other columns are not read and an
 empty table gives an empty result.
 """
 
@@ -54,7 +56,7 @@ def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
     """Rows of (block, ids, length of a vector, all components), each of about `size` vectors."""
     total = rows.count()
     blocks = max(1, -(-total // size))
-    dealt = rows.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    dealt = rows.withColumn(name, F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int"))
     return dealt.groupBy(name, F.size("v").alias("dim")).agg(F.collect_list(F.struct("id", "v")).alias("rows")).select(name, "dim", F.col("rows.id").alias(f"{name}_ids"), F.flatten("rows.v").alias(f"{name}_v"))
 
 
@@ -83,7 +85,7 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 def top_k(vectors: DataFrame, queries: DataFrame, params: SearchParams = SearchParams()) -> DataFrame:
     """`vectors` and `queries` are (id long, v array<long>): query_id, rank, vec_id, score."""
-    usable = lambda d: d.filter(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).select("id", "v")
+    usable = lambda d: d.filter(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).select("id", "v").dropDuplicates(["id", "v"])
     cs = _blocks(usable(vectors), params.vector_block, "c")
     qs = _blocks(usable(queries), params.query_block, "q")
     # every block of queries with every block of vectors: the stated query set against all rows
@@ -95,8 +97,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, params: SearchParams = SearchP
         q_ids, c_ids = np.asarray(row["q_ids"], np.int64), np.asarray(row["c_ids"], np.int64)
         q = np.asarray(row["q_v"], np.int64).reshape(len(q_ids), -1)
         c = np.asarray(row["c_v"], np.int64).reshape(len(c_ids), -1)
-        c_ids, first = np.unique(c_ids, return_index=True)
-        return q_ids, q, c_ids, c[first]
+        order = np.argsort(c_ids, kind="stable")
+        return q_ids, q, c_ids[order], c[order]
 
     def gather(frames):
         for frame in frames:
@@ -110,7 +112,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, params: SearchParams = SearchP
                     seen = np.unique(np.concatenate([np.argpartition(-p[i], min(k, len(c_ids) - 1))[: k + 1] for p in lists]))
                     sums = score[i, seen]
                     sums = np.sort(sums[np.isfinite(sums) if sums.dtype != np.int64 else sums > np.iinfo(np.int64).min])[::-1][:k]
-                    yield pd.DataFrame({"query_id": [query], "sums": [sums.astype(np.int64).tolist()], "least": [least[i].astype(np.int64).tolist()]})
+                    yield pd.DataFrame({"query_id": [query], "dim": [q.shape[1]], "sums": [sums.astype(np.int64).tolist()], "least": [least[i].astype(np.int64).tolist()]})
 
     def gather_joined(frames):
         held, n = [], 0
@@ -123,18 +125,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, params: SearchParams = SearchP
         if held:
             yield pd.concat(held)
 
-    lists = pairs.mapInPandas(gather_joined, "query_id long, sums array<long>, least array<long>")
+    lists = pairs.mapInPandas(gather_joined, "query_id long, dim int, sums array<long>, least array<long>")
     sums = lists.select("query_id", F.explode("sums").alias("s"))
     ranked = sums.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"))))
-    # with fewer than k sums there is no bound: the least long lets every vector pass
+    # each sum is of another pair of vectors, so the k-th best of an id is reached; with fewer than k there is no bound: the least long lets every vector pass
     bound = ranked.filter(F.col("r") == k).select("query_id", F.col("s").alias("bound"))
-    least = lists.select("query_id", F.posexplode("least").alias("g", "x")).groupBy("query_id", "g").agg(F.min("x").alias("x"))
-    least = least.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("g", "x")))["x"].alias("least"))
+    least = lists.select("query_id", "dim", F.posexplode("least").alias("g", "x")).groupBy("query_id", "dim", "g").agg(F.min("x").alias("x"))
+    least = least.groupBy("query_id", "dim").agg(F.sort_array(F.collect_list(F.struct("g", "x")))["x"].alias("least"))
     cutoffs = least.join(bound, "query_id", "left")
 
-    blocked = usable(queries).dropDuplicates(["id"]).join(cutoffs.withColumnRenamed("query_id", "id"), "id")
+    blocked = usable(queries).withColumn("dim", F.size("v")).join(cutoffs.withColumnRenamed("query_id", "id"), ["id", "dim"])
     n_q = max(1, -(-usable(queries).count() // params.query_block))
-    blocked = blocked.withColumn("q", F.pmod(F.xxhash64("id"), F.lit(n_q)).cast("int")).groupBy("q", F.size("v").alias("dim"))
+    blocked = blocked.withColumn("q", F.pmod(F.xxhash64("id", "v"), F.lit(n_q)).cast("int")).groupBy("q", "dim")
     blocked = blocked.agg(F.collect_list(F.struct("id", "v", "least", "bound")).alias("rows")).select(
         "q", "dim", F.col("rows.id").alias("q_ids"), F.flatten("rows.v").alias("q_v"), F.flatten("rows.least").alias("q_least"), F.transform("rows.bound", lambda b: F.coalesce(b, F.lit(-(2**63)))).alias("q_bound")
     )

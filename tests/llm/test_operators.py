@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 from dataclasses import fields, replace
 from math import log10
+from random import Random
 
 import duckdb
 import pytest
@@ -61,6 +62,33 @@ def test_oracle(spark, name):
     assert rows(got.select(*columns).toArrow()) == rows(want)
 
 
+def top_k_rows(spark, folder, rows):
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.mode("overwrite").parquet(f"{folder}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{folder}/embeddings.parquet/*.parquet')")
+    want = con.execute(queries.oracle_sql()["op1_top_k_search"]).fetchall()
+    got = queries.queries()["op1_top_k_search"](spark, str(folder)).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    return want
+
+
+def test_top_k_repeated_and_clashing_ids(spark, tmp_path):
+    """Repeated rows are one; different vectors of an id, also of another length, all take part."""
+    rng = Random(5)
+    vector = lambda n: [rng.uniform(-1, 1) for _ in range(n)]
+    rows = [(i, vector(6)) for i in range(90)]
+    rows += [rows[20]] + [rows[40]] * 19 + [rows[3]] * 5
+    rows += [(i, vector(6)) for i in (0, 0, 7, 7, 7, 60)]
+    rows += [(i, vector(2)) for i in (60, 7, 100, 101, 102)]
+    rows += [(None, vector(6)), (200, None), (201, []), (220, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (240, [float("nan")] * 6), (260, [float("inf")] * 6)]
+    want = top_k_rows(spark, tmp_path, rows)
+    assert Counter(r[0] for r in want) == {0: 20, 20: 20, 40: 20, 60: 20, 80: 20, 100: 4}
+
+
+def test_top_k_empty_table(spark, tmp_path):
+    assert top_k_rows(spark, tmp_path, []) == []
+
+
 def crc(doc_id):
     return zlib.crc32(str(doc_id).encode())
 
