@@ -4,7 +4,8 @@ Candidate strings are runs of key-like characters. In each, for each character c
 window slides over the class's runs; counts of its characters are kept as it moves, so
 that each step changes two counts and the entropy follows from a running sum of c*log2(c).
 Windows over the class's threshold that hold the class's required kinds of characters are
-united to spans. Allow-listed candidates give none.
+united to spans. An allow-listed string takes its segment (between / = _ -) out of the
+candidate; the rest is scanned.
 
 Defined results: a null or empty text has no spans; repeated rows give repeated results;
 columns of the input other than the id and the text are not read; an empty table gives an
@@ -32,7 +33,7 @@ ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{24,}")
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 
-KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
+KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64", "entropy_lower", "entropy_upper", "entropy_mixed")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/=_-]{20,}")
 
 #: Strings that look random and are none.
@@ -58,7 +59,15 @@ _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHI
 CLASSES = (
     CharClass("entropy_hex", _DIGITS + "abcdefABCDEF", 20, 3.0, (_DIGITS, "abcdefABCDEF")),
     CharClass("entropy_base64", _DIGITS + _LOWER + _UPPER + "+/=_-", 24, 4.0, (_DIGITS, _LOWER, _UPPER)),
+    # one case alone needs more bits than with digits, since long compound words come near; the last class takes keys shorter than a base64 window
+    CharClass("entropy_lower", _DIGITS + _LOWER, 20, 3.6, (_DIGITS, _LOWER)),
+    CharClass("entropy_lower", _LOWER, 20, 3.75, ()),
+    CharClass("entropy_upper", _DIGITS + _UPPER, 20, 3.6, (_DIGITS, _UPPER)),
+    CharClass("entropy_upper", _UPPER, 20, 3.75, ()),
+    CharClass("entropy_mixed", _DIGITS + _LOWER + _UPPER, 20, 3.9, (_LOWER, _UPPER)),
 )
+#: Kinds whose spans are left out where another span covers them.
+WITHIN = ("entropy_lower", "entropy_upper", "entropy_mixed")
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -106,24 +115,39 @@ def entropy_spans(candidate: str, cls: CharClass) -> Iterator[tuple[int, int]]:
     return ((a, b) for a, b in spans)
 
 
+def unlisted(run: str, allowed: re.Pattern) -> Iterator[tuple[int, str]]:
+    """What is left of a candidate, with its place, without the segments that allow-listed strings touch."""
+    at = 0
+    for m in allowed.finditer(run):
+        a = max(run.rfind(c, 0, m.start()) for c in "/=_-") + 1
+        b = min((i for c in "/=_-" if (i := run.find(c, m.end())) >= 0), default=len(run))
+        if a > at:
+            yield at, run[at:a]
+        at = max(at, b)
+    yield at, run[at:]
+
+
 def find_spans(text: str | None, classes: tuple[CharClass, ...] = CLASSES, allowed: re.Pattern = ALLOWED) -> list[tuple[int, int, str]]:
     """All spans by start, then kind as listed in KINDS; ends are exclusive, positions are code points.
 
-    Entropy spans that lie inside a base span are left out: the base span reports them.
+    Entropy spans that lie inside a base span are left out: the base span reports them. So are
+    those of the kinds in WITHIN that lie inside any span found before.
     """
     if not text:
         return []
     found = base_spans(text)
     base = list(found)
     for m in CANDIDATE.finditer(text):
-        run = m[0]
-        if run.isalpha() or run.isdigit() or allowed.search(run):
-            continue
-        for cls in classes:
-            for a, b in entropy_spans(run, cls):
-                a, b = a + m.start(), b + m.start()
-                if not any(x <= a and b <= y for x, y, _ in base):
-                    found.append((a, b, cls.kind))
+        for at, piece in unlisted(m[0], allowed):
+            if len(piece) < 20 or piece.isdigit():
+                continue
+            own: list[tuple[int, int, str]] = []
+            for cls in classes:
+                for a, b in entropy_spans(piece, cls):
+                    a, b = a + at + m.start(), b + at + m.start()
+                    if not any(x <= a and b <= y for x, y, _ in (base + own if cls.kind in WITHIN else base)):
+                        own.append((a, b, cls.kind))
+            found += own
     order = {k: i for i, k in enumerate(KINDS)}
     return sorted(found, key=lambda s: (s[0], order[s[2]], s[1]))
 

@@ -21,7 +21,7 @@ from siltstone.llm.language import fit_language, identify_language
 from siltstone.llm.licenses import scan_licenses
 from siltstone.llm.lm import LmParams, score, train
 from siltstone.llm.packing import pack
-from siltstone.llm.secrets import scan_secrets
+from siltstone.llm.secrets import find_spans, scan_secrets
 from siltstone.llm.substrings import mark_repeats
 from siltstone.llm.toxicity import fit_toxicity, keep_clean, score_toxicity
 
@@ -181,6 +181,22 @@ def test_secret_base_spans(spark, texts):
         assert set(line) <= set(r.spans.split(",")) | {""}
 
 
+@pytest.mark.parametrize("key", [
+    "k3v9x0qz7m2w8tj5r1ypb4ncg6", "K3V7XQZM2WTJ5RYPB4NCG6HDLA", "qzkxwvjmpfybhgtdncrulosaie", "kQzXwVjMpFyBhGtDnCrUlOsA", "Zk3vX9qL0wTj5RyPb4Nc",
+])
+def test_secret_character_classes(key):
+    """Keys of each class, also of 20 characters and of letters alone, after a path that holds an allow-listed word."""
+    for before in ("", "x = ", "opt/example/", "test_only/dummy="):
+        spans = find_spans(f"{before}{key} and more")
+        assert any(a <= len(before) and len(before) + len(key) <= b for a, b, _ in spans), (before, spans)
+    assert find_spans(f"example{key}") == []
+
+
+def test_secret_allowed_and_plain():
+    for text in ("test_only/example-placeholder=dummy", "123e4567-e89b-12d3-a456-426614174000", "9" * 23, "internationalization", "Donaudampfschifffahrtsgesellschaft", "z" * 30):
+        assert find_spans(text) == [], text
+
+
 def grams(t):
     w = re.findall("[^\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
