@@ -9,6 +9,7 @@ from math import log10
 from random import Random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -17,7 +18,7 @@ import corpus_pipeline
 from siltstone.llm import queries
 from siltstone.llm.decontaminate import find_contamination
 from siltstone.llm.jaccard import jaccard_classes, keep_one_of_each
-from siltstone.llm.language import fit_language, identify_language
+from siltstone.llm.language import LanguageParams, fit_language, frequencies, identify_language
 from siltstone.llm.licenses import scan_licenses
 from siltstone.llm.lm import LmParams, score, train
 from siltstone.llm.packing import pack
@@ -110,6 +111,49 @@ def test_language(spark, docs):
     assert (held.lang_pred == held.lang).mean() >= 0.85 and got.score.between(0, 1).all()
 
 
+def test_language_every_tag_is_learned(spark):
+    """More languages than a block holds: each has its own alphabet and is found again, as it is with one block."""
+    rng = Random(9)
+    alphabets = {f"l{i:03}": [chr(0x4E00 + 12 * i + j) for j in range(12)] for i in range(230)}
+    rows = [(10 * i + k, name, " ".join("".join(rng.choices(letters, k=4)) for _ in range(30))) for i, (name, letters) in enumerate(alphabets.items()) for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    few, one = (identify_language(docs, fit_language(docs, LanguageParams(block_languages=n))).toPandas().set_index("doc_id") for n in (64, 1000))
+    assert few.sort_index().equals(one.sort_index())
+    want = {r[0]: r[1] for r in rows}
+    learned = {name for i, name, _ in rows if crc(i) % 5}
+    assert all(few.lang_pred[i] == name for i, name in want.items() if name in learned and crc(i) % 5)
+    assert set(few.lang_pred) == learned and len(learned) > 200
+
+
+def test_language_against_plain_count(spark, docs):
+    """Document frequencies are those of all training texts, and centroids those of a plain k-means on the sample."""
+    params = LanguageParams(per_language=40)
+    model = fit_language(docs, params)
+    rows = [r for r in docs.withColumn("h", F.xxhash64("doc_id", "text")).collect() if r.lang is not None and r.text is not None and crc(r.doc_id) % 5]
+    tf, letters = frequencies([r.text for r in rows], params)
+    idf = np.log((1 + letters.sum()) / (1 + (tf[letters] > 0).sum(0))) + 1
+    assert np.allclose(model.idf, idf, rtol=1e-5)
+    block = next(model.blocks())
+    for name in model.languages:
+        own = sorted((i for i, r in enumerate(rows) if r.lang == name and letters[i]), key=lambda i: rows[i].h)[:40]
+        x = tf[own] * idf
+        x /= np.sqrt((x * x).sum(1, keepdims=True))
+        c = x[np.linspace(0, len(x) - 1, min(3, len(x))).astype(int)]
+        for _ in range(params.rounds):
+            at = (x @ c.T).argmax(1)
+            c = np.stack([x[at == j].sum(0) / np.linalg.norm(x[at == j].sum(0)) if (at == j).any() else c[j] for j in range(len(c))])
+        assert np.allclose(block.centroids[[n == name for n in block.names]], c, atol=1e-4), name
+
+
+def test_language_rejects_what_is_far(spark):
+    rows = [(i, "en" if i % 2 else "de", ("the house and the garden " if i % 2 else "das Haus und der Garten ") * 5) for i in range(60)]
+    docs = spark.createDataFrame(rows + [(100, None, "Жилой дом и сад"), (101, None, "123 !?")], "doc_id long, lang string, text string")
+    got = identify_language(docs, fit_language(docs)).toPandas().set_index("doc_id")
+    assert got.lang_pred[100] in ("de", "en") and got.rejected[100] and got.accepted[100] == "und"
+    assert (got.lang_pred[101], got.score[101], got.accepted[101]) == ("und", 0.0, "und")
+    assert not got.rejected[3] and got.accepted[3] == got.lang_pred[3] == "en"
+
+
 def test_lm_base(spark, texts):
     lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
     tokens = {i: [*re.findall("[^\x20\x09-\x0d]+", lower(t)), None] for i, t in texts.items()}
