@@ -20,8 +20,12 @@ a unit.
 4. Blocks get their units' first starts back and mark the words.
 
 Words are told apart by 64-bit hashes, of which the index's alphabet has 32 bits; no word
-is compared alone, only windows as wholes. What a block or a shard holds is bounded: a
-common passage reaches a shard once per block.
+is compared alone, only windows as wholes. What a block or a shard holds is bounded: there
+are as many shards as the text needs at `shard_chars` each, and a common passage reaches its
+shard once per block.
+
+Ids are whole numbers, whose order says what is earlier; other types are refused with a
+TypeError when the query is made.
 
 Defined results: a null text has no words; a null id counts as less than any other; rows
 that repeat an id are one document's, so windows at the same position in them are not
@@ -38,6 +42,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from siltstone.llm.blocks import blocked, cut_by_part, joined, parts_of, range_part, table_batches
 from siltstone.llm.fmindex import FmIndex
@@ -48,12 +53,13 @@ _A, _B = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 @dataclass(frozen=True)
 class SubstringParams:
-    """window: words of a sequence that counts; k: words of a minimiser; hot: occurrences that split one."""
+    """window: words of a sequence that counts; k: words of a minimiser; hot: occurrences that split one; the others bound what a task holds."""
 
     window: int = 20
     k: int = 8
     hot: int = 1000
     block_chars: int = 6_000_000
+    shard_chars: int = 3_000_000
 
 
 class Units:
@@ -131,7 +137,10 @@ def _slices(docs: pa.Table):
 
 def mark_repeats(docs: DataFrame, params: SubstringParams = SubstringParams(), id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """Per row: the id, n_words, n_removed, kept_sha256, and with keep_text the kept words."""
-    parts, window, hot = 2 * parts_of(docs), params.window, params.hot  # a shard is a group of rows, not a partition
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must be of a whole-number type, since its order decides which occurrence stays")
+    chars = docs.agg(F.sum(F.length(text_col))).collect()[0][0] or 0
+    parts, window, hot = max(2 * parts_of(docs), -(-chars // params.shard_chars)), params.window, params.hot  # a shard is a group of rows, not a partition
     order = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc")
     kind = docs.schema[id_col].dataType.simpleString()
     all_docs = blocked(docs.withColumn(text_col, F.coalesce(F.col(text_col), F.lit(""))), id_col, text_col, params.block_chars, order)
