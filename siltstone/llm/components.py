@@ -15,7 +15,8 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     rewires each node's neighbours to the least of them: the larger ones, then the smaller
     ones. Rounds end when a round changes nothing; each cuts its lineage in the shared
     checkpoint folder, and only two numbers of each round reach the driver. A star's rows
-    are joined to its centre's minimum, never gathered in one place.
+    are joined to its centre's minimum, never gathered in one place. The number of rounds
+    grows with the logarithm of the edges; a RuntimeError says so if `rounds` do not do.
     """
     ensure_checkpoint_dir(edges.sparkSession)
     now = edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
@@ -31,5 +32,7 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if tuple(found) == state:
             break
         state = tuple(found)
+    else:
+        raise RuntimeError(f"components still change after {rounds} rounds")
     roots = now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
     return roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())

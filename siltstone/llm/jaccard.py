@@ -28,7 +28,7 @@ link each other. Other columns are not read and an empty table gives an empty re
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import ceil, log
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -56,11 +56,22 @@ class JaccardParams:
 
     @property
     def runs(self) -> int:
-        """Repetitions that reach the recall for a pair at the threshold that is split at every level."""
-        t = self.threshold
-        stays = 0.75 * t + 0.25 * (1 - (1 - t) ** 2)
-        together = t * stays ** (self.depth - 1)
-        return min(self.coordinates, max(1, ceil(log(1 - self.recall) / log(1 - together))))
+        """Repetitions that reach the recall for a pair at the threshold that is split at every level.
+
+        All runs draw on the same coordinates, so the expectation goes over how many of them
+        agree; pairs that the sketches put too low are missed by every run.
+        """
+        return next((r for r in range(1, self.coordinates + 1) if self.missed(r) <= 1 - self.recall), self.coordinates)
+
+    def missed(self, runs: int) -> float:
+        """The probability that `runs` runs lose a pair at the threshold that is split at every level."""
+        c, t, out = self.coordinates, self.threshold, 0.0
+        for agree in range(c + 1):
+            a = agree / c
+            together = a * (0.75 * a + 0.25 * (1 - (1 - a) ** 2)) ** (self.depth - 1)
+            lost = 1.0 if agree < (t - self.margin) * c else (1 - together) ** runs
+            out += comb(c, agree) * t**agree * (1 - t) ** (c - agree) * lost
+        return out
 
 
 def gram_sets(text: pa.Array, n: int) -> list[np.ndarray]:
