@@ -5,8 +5,10 @@ that length does not add up). Each feature is scaled by its log-count ratio
 r = log((p/|p|) / (q/|q|)) of smoothed document counts in toxic and clean labelled texts,
 and a logistic regression is fitted on the scaled features.
 
-The classifier is fitted on a bounded sample of labelled rows: the `per_class` rows of each
-class that come first in the order of a hash of their ids. All else covers every row.
+The classifier is fitted on a bounded sample of labelled rows: the `per_class` ids of each
+class that come first in the order of a hash, and of their different texts as many. The
+driver gets counts by bucket, chooses the `features` buckets that tell the classes apart
+best, and then gets the sampled rows' numbers of those alone. All else covers every row.
 
 Defined results: a null or empty text has no features and scores the classifier's base
 rate; a label that is null, or neither 0 nor 1, or whose id is null, is not learned from;
@@ -25,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.chargrams import buckets, codes, row_slices, text_list
+from siltstone.session import ensure_checkpoint_dir
 
 
 @dataclass(frozen=True)
@@ -81,59 +84,83 @@ def held_out(id_col: str, fold: int) -> Column:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
-    """Fit on the sampled labelled rows that are not held out; executors compute their features."""
+    """Fit on the sampled labelled rows that are not held out; executors count their features and then give those kept."""
+    ensure_checkpoint_dir(docs.sparkSession)
     usable = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y")).filter(F.col("_y").isin(0, 1) & F.col("_id").isNotNull() & ~held_out("_id", params.fold))
-    marked = usable.groupBy("_id").agg(F.max("_y").alias("_y")).withColumn("_h", F.xxhash64("_id"))
+    marked = usable.groupBy("_id").agg(F.max("_y").cast("int").alias("_y")).withColumn("_h", F.xxhash64("_id"))
     sampled = [marked.filter(F.col("_y") == y).orderBy("_h", "_id").limit(params.per_class) for y in (0, 1)]
     picked = F.broadcast(sampled[0].union(sampled[1]).select("_id", "_y"))  # 2 * per_class rows at most
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(picked, "_id").select(F.col("_y").cast("int"), "_t", F.xxhash64("_id").alias("_h"))
-    sizes, bits = params.sizes, params.bits
+    # rows of one id and text are one; of an id with many texts, no more than the bound are learned from
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(picked, "_id").withColumn("_h", F.xxhash64("_id", "_t"))
+    rows = rows.groupBy("_id", "_h").agg(F.max("_y").alias("_y"), F.max("_t").alias("_t"))
+    bounded = [rows.filter(F.col("_y") == y).orderBy("_h", "_id").limit(params.per_class) for y in (0, 1)]
+    learned = bounded[0].union(bounded[1]).select("_y", "_t", "_h").repartition(16, "_h").checkpoint()
+    size, sizes, bits = 1 << params.bits, params.sizes, params.bits
+
+    def count(batches):
+        found, rows = np.zeros((2, size), np.int64), np.zeros(2, np.int64)
+        for batch in batches:
+            y, texts = batch.column(0).to_numpy(), text_list(batch.column(1))
+            rows += np.bincount(y, minlength=2)
+            for low, high in row_slices(texts):
+                at, bucket = present(texts[low:high], sizes, bits)
+                for label in (0, 1):
+                    found[label] += np.bincount(bucket[y[low:high][at] == label], minlength=size)
+        held = np.flatnonzero(found.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(held, -1)), *(pa.array(np.append(f[held], n)) for f, n in zip(found, rows, strict=True))], ["bucket", "clean", "toxic"])
+
+    counted = learned.mapInArrow(count, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
+    bucket, q, p = (counted.column(c).to_numpy() for c in ("bucket", "clean", "toxic"))
+    n_q, n_p = int(q[bucket < 0].sum()), int(p[bucket < 0].sum())
+    kept, ratio = np.zeros(size, bool), np.zeros(size)
+    if n_p and n_q:
+        both = np.zeros((2, size))
+        both[:, bucket[bucket >= 0]] = np.stack([q, p])[:, bucket >= 0]
+        kept, ratio = _chosen(both[0], both[1], n_q, n_p, params.features)
+    if not kept.any():
+        base = (30.0 if n_p else -30.0) if 0 in (n_p, n_q) else float(np.log(n_p / n_q))
+        return ToxicityModel(kept, np.zeros(size, np.float32), base, sizes, bits)
+    chosen = np.flatnonzero(kept)
 
     def features(batches):
+        kept = np.zeros(size, bool)
+        kept[chosen] = True
+        column = np.cumsum(kept, dtype=np.int32) - 1
         for batch in batches:
             texts = text_list(batch.column(1))
             lists = []
             for low, high in row_slices(texts):
-                at, found = present(texts[low:high], sizes, bits)
-                lists += np.split(found.astype(np.int32), np.searchsorted(at, np.arange(1, high - low)))
+                at, found = present(texts[low:high], sizes, bits, kept)
+                lists += np.split(column[found], np.searchsorted(at, np.arange(1, high - low)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(lists, pa.list_(pa.int32()))], ["y", "h", "f"])
 
-    local = rows.mapInArrow(features, "y int, h long, f array<int>").toArrow().combine_chunks()
-    if not local.num_rows:
-        return _fit(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), params)
+    local = learned.mapInArrow(features, "y int, h long, f array<int>").toArrow().combine_chunks().sort_by("h").combine_chunks()  # `features` numbers a row at most
     lists = local.column("f").chunk(0)
-    return _fit(lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()), local.column("y").to_numpy().astype(np.int64), params)
-
-
-def _fit(flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, params: ToxicityParams) -> ToxicityModel:
-    """flat: the buckets of all rows, one row after the other; sizes: how many each row has."""
-    size = 1 << params.bits
-    kept, weights = np.zeros(size, bool), np.zeros(size, np.float32)
-    positive = int(y.sum())
-    if positive in (0, len(y)):
-        return ToxicityModel(kept, weights, 30.0 if positive else -30.0, params.sizes, params.bits)
-    toxic = np.repeat(y == 1, sizes)
-    both = np.bincount(flat, minlength=size).astype(float)
-    p = np.bincount(flat[toxic], minlength=size).astype(float)
-    q = both - p
-    n_p, n_q = positive, len(y) - positive
+    w, b = _fitted(lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()), local.column("y").to_numpy().astype(np.int64), ratio[kept], params)
+    weights = np.zeros(size, np.float32)
+    weights[kept] = ratio[kept] * w
+    return ToxicityModel(kept, weights, b, sizes, bits)
+
+
+def _chosen(q: np.ndarray, p: np.ndarray, n_q: int, n_p: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which buckets tell the classes apart best, and the log-count ratio of each bucket."""
     rate = (p + q + 1) / (n_p + n_q + 2)
     z = np.abs(p / n_p - q / n_q) / np.sqrt(rate * (1 - rate) * (1 / n_p + 1 / n_q))
     z[p + q < 2] = 0
-    best = np.argpartition(-z, min(params.features, size - 1))[: params.features]
+    kept = np.zeros(len(p), bool)
+    best = np.argpartition(-z, min(most, len(p) - 1))[:most]
     kept[best[z[best] > 0]] = True
-    ratio = np.log(((p + 1) / (p + 1).sum()) / ((q + 1) / (q + 1).sum()))
-
-    ids = np.cumsum(kept) - 1
-    held = np.flatnonzero(kept[flat])
-    at, col = np.searchsorted(np.cumsum(sizes), held, "right"), ids[flat[held]]
-    k = int(kept.sum())
-    if not k:
-        return ToxicityModel(kept, weights, float(np.log(n_p / n_q)), params.sizes, params.bits)
-    value = ratio[kept][col]
+    return kept, np.log(((p + 1) / (p + 1).sum()) / ((q + 1) / (q + 1).sum()))
+
+
+def _fitted(col: np.ndarray, sizes: np.ndarray, y: np.ndarray, ratio: np.ndarray, params: ToxicityParams) -> tuple[np.ndarray, float]:
+    """Logistic regression on scaled features. col: the features of all rows, one row after the other; sizes: how many each has."""
+    at, k = np.repeat(np.arange(len(y)), sizes), len(ratio)
+    value = ratio[col]
     w, b = np.zeros(k), 0.0
     m = [np.zeros(k + 1), np.zeros(k + 1)]
-    per = np.where(y == 1, 0.5 / n_p, 0.5 / n_q)  # both classes weigh the same, whatever was sampled
+    n_p = int(y.sum())
+    per = np.where(y == 1, 0.5 / n_p, 0.5 / (len(y) - n_p))  # both classes weigh the same, whatever was sampled
     for t in range(1, params.steps + 1):
         s = b + np.bincount(at, value * w[col], len(y))
         g = (1 / (1 + np.exp(-np.clip(s, -500, 500))) - y) * per
@@ -141,8 +168,7 @@ def _fit(flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, params: ToxicityPar
         m = [0.9 * m[0] + 0.1 * grad, 0.99 * m[1] + 0.01 * grad * grad]
         step = 0.05 * (m[0] / (1 - 0.9**t)) / (np.sqrt(m[1] / (1 - 0.99**t)) + 1e-9)
         w, b = w - step[:k], b - step[k]
-    weights[kept] = ratio[kept] * w
-    return ToxicityModel(kept, weights, float(b), params.sizes, params.bits)
+    return w, float(b)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", fold: int = 5) -> DataFrame:
