@@ -17,14 +17,14 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from siltstone.llm import queries
 from siltstone.llm.decontaminate import find_contamination
-from siltstone.llm.jaccard import jaccard_classes, keep_one_of_each
+from siltstone.llm.jaccard import JaccardParams, jaccard_classes, keep_one_of_each
 from siltstone.llm.language import LanguageParams, fit_language, frequencies, identify_language
-from siltstone.llm.licenses import scan_licenses
+from siltstone.llm.licenses import TEMPLATES, scan_licenses
 from siltstone.llm.lm import LmParams, score, train
 from siltstone.llm.packing import pack
 from siltstone.llm.secrets import find_spans, scan_secrets
-from siltstone.llm.substrings import mark_repeats
-from siltstone.llm.toxicity import fit_toxicity, keep_clean, score_toxicity
+from siltstone.llm.substrings import SubstringParams, mark_repeats
+from siltstone.llm.toxicity import ToxicityParams, fit_toxicity, keep_clean, present, score_toxicity
 
 SF = "/root/testdata/sf0.001"
 TABLES = "documents embeddings benchmark labels".split()
@@ -63,6 +63,29 @@ def test_oracle(spark, name):
     assert rows(got.select(*columns).toArrow()) == rows(want)
 
 
+MIT = TEMPLATES["MIT"][1]
+APACHE = TEMPLATES["Apache-2.0"][1]
+CC = TEMPLATES["CC-BY-4.0"][1]
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    (CC.replace("Commons ", "Commons\n"), {("CC-BY-4.0", 1)}),
+    ("Some words before it. Other words\n" + CC.replace("Commons ", "Commons\n") + "\nand prose that goes on. And on.", {("CC-BY-4.0", 1)}),
+    ("Prose in front of it, without a blank line. " + MIT + " More prose follows at once, and then more.", {("MIT", 1)}),
+    (MIT.replace(": The above", ":\n\nThe above").replace("copies or", "copies\nor"), {("MIT", 1)}),
+    (APACHE.replace(" You may obtain", "\n\nYou may obtain").replace(" Unless", "\n\n    Unless"), {("Apache-2.0", 1)}),
+    ((CC + "\n") * 40 + "filler\n" + MIT, {("CC-BY-4.0", 40), ("MIT", 1)}),
+    (CC + "\nfiller words\n" + CC, {("CC-BY-4.0", 2)}),
+    ("You may use the work under the terms of a contract. This software is furnished to do so, without warranty.", set()),
+    ("license " * 50, set()),
+])
+def test_license_runs(spark, text, want):
+    """Wrapped, embedded and split notices, repeated ones, and text that only sounds alike."""
+    docs = spark.createDataFrame([(1, text), (1, text), (2, None), (3, "")], "doc_id long, text string")
+    found = scan_licenses(docs).collect()
+    assert {(r.license_id, r.n_places) for r in found if r.best_dice > 0.9} == want and (want or not found)
+
+
 def top_k_rows(spark, folder, rows):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.mode("overwrite").parquet(f"{folder}/embeddings.parquet")
     con = duckdb.connect()
@@ -104,6 +127,32 @@ def test_toxicity(spark, docs):
     assert (held.predicted == held.toxic).mean() >= 0.85
 
 
+def test_toxicity_against_plain_fit(spark, docs):
+    """The features kept are those of a plain count over the learned texts; repeated rows change nothing."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    params = ToxicityParams(per_class=50, features=200)
+    model, twice = fit_toxicity(docs, labels, params), fit_toxicity(docs.unionAll(docs).unionAll(docs), labels, params)
+    assert (model.kept == twice.kept).all() and np.allclose(model.weights, twice.weights, atol=1e-5)
+    y = {r.doc_id: r.toxic for r in labels.filter("toxic IS NOT NULL").collect() if crc(r.doc_id) % 5}
+    rows = docs.withColumn("h", F.xxhash64("doc_id")).collect()
+    own = [(y[r.doc_id], r.text) for r in sorted((r for r in rows if r.doc_id in y), key=lambda r: r.h)]
+    own = [r for c in (0, 1) for r in [x for x in own if x[0] == c][:50]]
+    held = [[set() for _ in own], np.array([c for c, _ in own])]
+    for i, (_, t) in enumerate(own):
+        held[0][i] = set(present([t], params.sizes, params.bits)[1].tolist())
+    n = [int((held[1] == c).sum()) for c in (0, 1)]
+    count = [Counter(b for s, c in zip(held[0], held[1]) for b in s if c == k) for k in (0, 1)]
+
+    def z(b):
+        q, p = count[0][b], count[1][b]
+        rate = (p + q + 1) / (sum(n) + 2)
+        return abs(p / n[1] - q / n[0]) / (rate * (1 - rate) * (1 / n[0] + 1 / n[1])) ** 0.5 if p + q > 1 else 0
+
+    all_z = {b: z(b) for b in count[0] | count[1]}
+    least = min(all_z[b] for b in np.flatnonzero(model.kept).tolist())
+    assert model.kept.sum() == 200 and sum(v > least + 1e-9 for v in all_z.values()) <= 200
+
+
 def test_language(spark, docs):
     got = queries.queries()["op5_language_id"](spark, SF).toPandas().set_index("doc_id")
     lang = docs.toPandas().set_index("doc_id").lang
@@ -246,6 +295,43 @@ def grams(t):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
+@pytest.mark.parametrize("params", [SubstringParams(hot=1), SubstringParams(block_chars=20_000), SubstringParams(shard_chars=10_000, hot=3)])
+def test_substrings_under_any_bound(spark, docs, params):
+    """What bounds a block or a shard, and what splits a common minimiser, changes no result."""
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    assert rows(mark_repeats(docs, params)) == rows(mark_repeats(docs))
+
+
+def test_substrings_need_whole_number_ids(spark, odd):
+    with pytest.raises(TypeError, match="whole-number"):
+        mark_repeats(odd, id_col="id")
+
+
+def test_jaccard_recall():
+    """The runs are as many as the expected misses at the threshold allow."""
+    params = JaccardParams()
+    assert params.missed(params.runs) <= 1 - params.recall < params.missed(params.runs - 1)
+
+
+def test_jaccard_split_buckets_and_large_group(spark):
+    """Buckets that are split down to the last level, and a chain of near copies over many chunks, lose no link."""
+    rng = Random(3)
+    base = [f"w{rng.randrange(900)}" for _ in range(160)]
+    texts = {}
+    for i in range(600):
+        words = base if i < 400 else [f"x{rng.randrange(10**6)}" for _ in range(160)]
+        words = list(words)
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+        texts[i] = " ".join(words)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    sets = {i: grams(t) for i, t in texts.items()}
+    links = {i: sum(j != i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in sets) for i in sets}
+    got = {r.doc_id: r for r in jaccard_classes(docs, JaccardParams(small=16)).collect()}
+    assert {i: got[i].n_links for i in sets} == links
+    assert [i for i in sets if got[i].class_id != (0 if i < 400 else i)] == [i for i in range(400) if not links[i] and i]
+
+
 def test_jaccard_against_all_pairs(spark, texts):
     sets = {i: grams(t) for i, t in texts.items()}
     linked = defaultdict(set)
