@@ -94,11 +94,18 @@ def day_bounds(ts: Column, start: dt.date | None, end: dt.date | None) -> Column
     return out
 
 
+_NAMES = {name: i for i, name in enumerate(("sun", "mon", "tue", "wed", "thu", "fri", "sat"))} | {
+    name: i for i, name in enumerate(("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"), 1)
+}
+
+
 def _field(text: str, low: int, high: int) -> set[int]:
+    """The numbers of a schedule's field: lists of numbers or names, spans, and steps (from one number on to the end)."""
     out: set[int] = set()
-    for part in text.split(","):
+    for part in text.lower().split(","):
         span, _, step = part.partition("/")
-        a, b = (low, high) if span == "*" else (int(span.split("-")[0]), int(span.split("-")[-1]))
+        ends = [_NAMES[x] if x in _NAMES else int(x) for x in span.split("-")] if span != "*" else [low, high]
+        a, b = ends[0], high if step and len(ends) == 1 else ends[-1]
         out |= set(range(a, b + 1, int(step or 1)))
     return out
 
@@ -106,13 +113,17 @@ def _field(text: str, low: int, high: int) -> set[int]:
 def previous_fire(cron: str, zone: str, now: dt.datetime, catchup_hours: int, last_run: dt.datetime | None) -> dt.datetime | None:
     """The last time at or before `now` that a five-field schedule names, if recent enough and later than the last run.
 
+    Where a schedule restricts both the day of the month and of the week, either will do.
     This is scheduling of a job, not of rows, so it runs once where the job is started.
     """
     minute, hour, day, month, week = cron.split()
-    days = {w % 7 for w in _field(week, 0, 7)}
+    minutes, hours, days, months = _field(minute, 0, 59), _field(hour, 0, 23), _field(day, 1, 31), _field(month, 1, 12)
+    weekdays = {w % 7 for w in _field(week, 0, 7)}
     at = now.astimezone(ZoneInfo(zone)).replace(second=0, microsecond=0)
     for _ in range(catchup_hours * 60 + 1):
-        if at.minute in _field(minute, 0, 59) and at.hour in _field(hour, 0, 23) and at.day in _field(day, 1, 31) and at.month in _field(month, 1, 12) and (at.isoweekday() % 7) in days:
+        in_month, in_week = at.day in days, (at.isoweekday() % 7) in weekdays
+        named = in_month or in_week if not day.startswith("*") and not week.startswith("*") else in_month and in_week
+        if at.minute in minutes and at.hour in hours and at.month in months and named:
             fired = at.astimezone(dt.UTC)
             return fired if last_run is None or fired > last_run else None
         at = (at.astimezone(dt.UTC) - dt.timedelta(minutes=1)).astimezone(ZoneInfo(zone))

@@ -95,11 +95,11 @@ def address_parts(c: Column, city: Column | None = None, state: Column | None =
     before it the city, unless they are given.
     """
     segments = F.filter(F.transform(F.split(F.upper(c), ","), lambda s: F.trim(s)), lambda s: s != "")
-    unit_pattern = r"^(APT|APARTMENT|UNIT|STE|SUITE|#|RM|ROOM|FL|FLOOR)\b.*"
+    unit_pattern = rf"^({fixed.UNIT_WORDS})\b.*"
     is_unit = lambda s: s.rlike(unit_pattern) | s.startswith("#")
     first = F.get(segments, F.lit(0))
-    inline_unit = F.nullif(F.regexp_extract(first, r"\s((?:APT|APARTMENT|UNIT|STE|SUITE|#|RM|ROOM|FL|FLOOR)\b?\s*[A-Z0-9-]+)$", 1), F.lit(""))
-    street_raw = F.regexp_replace(first, r"\s(?:APT|APARTMENT|UNIT|STE|SUITE|#|RM|ROOM|FL|FLOOR)\b?\s*[A-Z0-9-]+$", "")
+    inline_unit = F.nullif(F.regexp_extract(first, rf"\s((?:{fixed.UNIT_WORDS})\b?\s*[A-Z0-9-]+)$", 1), F.lit(""))
+    street_raw = F.regexp_replace(first, rf"\s(?:{fixed.UNIT_WORDS})\b?\s*[A-Z0-9-]+$", "")
     rest = F.slice(segments, 2, 1000)
     unit = F.coalesce(F.get(F.filter(rest, is_unit), F.lit(0)), inline_unit)
     places = F.filter(rest, lambda s: ~is_unit(s))
@@ -251,19 +251,25 @@ def coerced_status(c: Column) -> Column:
     return F.coalesce(mapped(F.trim(c), known), mapped(status_key(c), folded))
 
 
-_DROPPED_KEYS = ("fbclid", "gclid", "mc_cid", "mc_eid", "ref", "source", "cmpid", "igshid", "spm")
-
-
 def canonical_url(c: Column) -> Column:
-    """Scheme and host in lower case, no trailing slash, no fragment, no tracking keys, and the query sorted."""
-    text = F.trim(c)
-    scheme = F.lower(F.regexp_extract(text, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
-    host = F.lower(F.regexp_extract(text, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
-    path = F.regexp_replace(F.regexp_extract(text, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), "/+$", "")
-    query = F.regexp_extract(text, r"\?([^#]*)", 1)
-    pairs = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.lower(p).rlike("^(utm_[^=]*|" + "|".join(_DROPPED_KEYS) + ")(=|$)"))
-    tail = F.when(F.size(pairs) > 0, F.concat(F.lit("?"), F.array_join(F.array_sort(pairs), "&"))).otherwise("")
-    return F.when(scheme != "", F.concat(scheme, F.lit("://"), host, path, tail)).otherwise(F.nullif(text, F.lit("")))
+    """Scheme and host in lower case, no fragment, no slash at a path's end, no tracking keys, and the query sorted.
+
+    An empty path is a slash. Query keys and values are decoded and encoded again (a blank
+    as +), and pairs are sorted as decoded. Null for text that is no http or https URL.
+    """
+    t = F.trim(c)
+    scheme = F.lower(F.regexp_extract(t, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
+    host = F.lower(F.regexp_extract(t, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+    path = F.regexp_extract(t, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    path = F.when(path.isin("", "/"), "/").otherwise(F.regexp_replace(path, "/+$", ""))
+    query = F.regexp_extract(t, r"^[^?#]*\?([^#]*)", 1)
+    decoded = lambda x: F.coalesce(F.try_url_decode(x), x)
+    encoded = lambda x: F.replace(F.replace(F.url_encode(x), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    pair = lambda p: F.struct(decoded(F.regexp_extract(p, "^([^=]*)", 1)).alias("k"), decoded(F.regexp_extract(p, "^[^=]*=(.*)$", 1)).alias("v"))
+    tracks = lambda k: F.lower(k).startswith("utm_") | F.lower(k).isin(*fixed.TRACKING_KEYS)
+    pairs = F.array_sort(F.filter(F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), pair), lambda p: ~tracks(p["k"])))
+    tail = F.when(F.size(pairs) > 0, F.concat(F.lit("?"), F.array_join(F.transform(pairs, lambda p: F.concat(encoded(p["k"]), F.lit("="), encoded(p["v"]))), "&"))).otherwise("")
+    return F.when(scheme.isin("http", "https") & (host != ""), F.concat(scheme, F.lit("://"), host, path, tail))
 
 
 def host_matches(host: Column, route: str) -> Column:

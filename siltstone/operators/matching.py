@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,20 +43,29 @@ def by_address(records: DataFrame, projects: DataFrame, record: str, owner: str,
     return equal.unionByName(by_identifier(rest, bare, record, [market, address], owner, 0.90, 0.65))
 
 
-def within_radius(left: DataFrame, right: DataFrame, meters: float, most_latitude: float = 60.0) -> DataFrame:
+def within_radius(left: DataFrame, right: DataFrame, meters: float) -> DataFrame:
     """Pairs of (lat, lng) at most `meters` apart, by a grid and the exact distance.
 
-    Cells are as high as the radius and as wide as it is at `most_latitude`; a row of the
-    left meets the nine cells around it, so a pair is found once.
+    The globe is cut into rows as high as the radius. Each row has a whole number of cells
+    around the globe, as wide as the radius at its end nearer a pole or wider, so a row of
+    the left meets three rows of cells, and of each the cells that its reach in longitude
+    touches, also across the 180th meridian; next to a pole these are all (few) cells of
+    the row. Longitudes are of -180 to 180 degrees.
     """
-    high = meters / METERS_PER_DEGREE
-    wide = high / math.cos(math.radians(most_latitude))
-    cell = lambda lat, lng: (F.floor(lat / high).alias("_y"), F.floor(lng / wide).alias("_x"))
-    around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    l = left.filter("lat IS NOT NULL AND lng IS NOT NULL").select("*", *cell(F.col("lat"), F.col("lng")))
-    l = l.withColumn("_dy", F.explode(around)).withColumn("_dx", F.explode(around))
-    l = l.withColumn("_y", F.col("_y") + F.col("_dy")).withColumn("_x", F.col("_x") + F.col("_dx")).drop("_dy", "_dx")
-    r = right.filter("lat IS NOT NULL AND lng IS NOT NULL").select("*", *cell(F.col("lat"), F.col("lng"))).withColumnsRenamed({"lat": "_lat", "lng": "_lng"})
+    high = meters / METERS_PER_DEGREE * (1 + 1e-9)
+    row = lambda lat: F.floor((lat + 90) / high)
+    edge = lambda y: F.least(F.lit(90.0), F.greatest(F.abs(y * high - 90), F.abs((y + 1) * high - 90)))
+    cells = lambda y: F.greatest(F.lit(1), F.floor(360 * F.cos(F.radians(edge(y))) / high)).cast("long")
+    column = lambda lng, n: F.pmod(F.floor((lng + 180) / (F.lit(360.0) / n)).cast("long"), n)
+    known = lambda rows: rows.filter("lat IS NOT NULL AND lng IS NOT NULL")
+    l = known(left).withColumn("_y", F.explode(F.array(*[row(F.col("lat")) + i for i in (-1, 0, 1)]))).withColumn("_n", cells(F.col("_y")))
+    # reach in degrees of longitude: exact for a cap of this radius, all around if it holds a pole
+    angle = math.radians(high)
+    sine = math.sin(angle) / F.cos(F.radians("lat"))
+    reach = F.when((F.abs("lat") + high >= 90) | (sine >= 1), 180.0).otherwise(F.degrees(F.asin(sine)))
+    first, last = (F.floor((F.col("lng") + 180 + side * reach) / (F.lit(360.0) / F.col("_n"))).cast("long") for side in (-1, 1))
+    l = l.withColumn("_x", F.explode(F.array_distinct(F.transform(F.sequence(first, F.least(last, first + F.col("_n") - 1)), lambda x: F.pmod(x, F.col("_n")))))).drop("_n")
+    r = known(right).withColumn("_y", row(F.col("lat"))).withColumn("_x", column(F.col("lng"), cells(F.col("_y")))).withColumnsRenamed({"lat": "_lat", "lng": "_lng"})
     pairs = l.join(r, ["_y", "_x"]).withColumn("meters", scores.haversine_meters(F.col("lat"), F.col("lng"), F.col("_lat"), F.col("_lng")))
     return pairs.filter(F.col("meters") <= meters).drop("_y", "_x", "_lat", "_lng")
 
@@ -113,7 +124,8 @@ def layered_candidates(subjects: DataFrame, projects: DataFrame, limit: int = 25
     address = s.join(p, (F.col("s_market_id") == F.col("p_market_id")) & (F.col("s_address") == F.col("p_address"))).select(*ids)
     points = lambda df, side: df.select(F.col("project_id").alias(f"{side}_project_id"), "lat", "lng")
     near = within_radius(points(subjects, "s"), points(projects, "p"), 1000.0).select(*ids, "meters")
-    same = s.withColumn("_d", text.developer_name(F.col("s_developer"))).join(p.withColumn("_d", text.developer_name(F.col("p_developer"))), "_d")
+    named = lambda df, side: df.withColumn("_d", text.developer_name(F.col(f"{side}_developer"))).withColumn("_m", F.col(f"{side}_market_id"))
+    same = named(s, "s").join(named(p, "p"), ["_d", "_m"])
     distance = scores.haversine_meters(F.col("s_lat"), F.col("s_lng"), F.col("p_lat"), F.col("p_lng"))
     second = (distance <= 1000) | (scores.product_type_score(F.col("s_product_type"), F.col("p_product_type")) > 0) | (shared_tokens(F.col("s_address"), F.col("p_address")) >= 3) | (F.col("s_units") == F.col("p_units"))
     hard = address.unionByName(near.filter("meters <= 250").select(*ids)).unionByName(same.filter(F.coalesce(second, F.lit(False))).select(*ids))
@@ -145,16 +157,54 @@ def search_score(address: Column, text_score: Column, name: Column, developer: C
     return F.round(F.least(F.lit(1.0), total), 6)
 
 
-def nearest_by_cosine(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", most_queries: int = 1000) -> DataFrame:
-    """Each query's k vectors of least cosine distance, ties to smaller ids.
+def similar_names(subjects: DataFrame, projects: DataFrame, least: float = 85.0, parts: int = 32) -> DataFrame:
+    """(subject_id, project_id, ratio) of names of one market whose token-set ratio is at least `least`.
 
-    The queries are a stated set of at most `most_queries`; more are refused, since they are
-    sent to every task.
+    `subjects` (subject_id, market_id, wanted) is a stated set of queries, met by all rows
+    (project_id, market_id, name) of its market. A market's rows are dealt out to `parts`
+    parts, each of which meets its subjects, so that a large market is no single task. Pairs
+    without a common token need lengths whose ratio allows the wanted similarity; others
+    never reach the Python function.
     """
-    if queries.limit(most_queries + 1).count() > most_queries:
-        raise ValueError(f"more than {most_queries} queries")
-    q = F.broadcast(queries.select(F.col(id_col).alias("query_id"), F.col(vector).alias("_q")))
-    pairs = vectors.select(id_col, F.col(vector).alias("_v")).join(q, F.col(id_col) != F.col("query_id"))
-    pairs = pairs.withColumn("distance", F.round(1 - scores.cosine(F.col("_q"), F.col("_v")), 6))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", id_col))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", id_col, "distance")
+    tokens = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda t: t != "")
+    plain = lambda c: F.array_join(F.array_sort(F.array_distinct(tokens(c))), " ")
+    a = subjects.select("subject_id", "market_id", "wanted", tokens(F.col("wanted")).alias("_t"), F.length(plain(F.col("wanted"))).alias("_n"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_p"))
+    b = projects.select("project_id", "market_id", "name", tokens(F.col("name")).alias("_u"), F.length(plain(F.col("name"))).alias("_m"), F.pmod(F.xxhash64("project_id"), F.lit(parts)).cast("int").alias("_p"))
+    share = least / 100
+    possible = F.arrays_overlap("_t", "_u") | (F.least("_n", "_m") * (2 - share) >= F.greatest("_n", "_m") * share)
+    pairs = a.join(b, ["market_id", "_p"]).filter((F.col("subject_id") != F.col("project_id")) & possible)
+    ratio = F.round(text.token_set_ratio(F.col("wanted"), F.col("name")), 4)
+    return pairs.select("subject_id", "project_id", ratio.alias("ratio")).filter(F.col("ratio") >= least)
+
+
+def nearest_by_cosine(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", query_block: int = 1024, vector_block: int = 4096) -> DataFrame:
+    """Each query's k vectors of least cosine distance (to six places), ties to smaller ids; a query does not find its own id.
+
+    Queries and vectors are dealt out to blocks of bounded size, and every block of queries
+    meets every block of vectors: a set of queries of any size against all rows, nothing of
+    which is broadcast. Each meeting gives a query's k best, so the last step ranks k rows
+    for each block. Vectors that are null, empty, without length, or hold nulls take no part.
+    """
+
+    def blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
+        good = rows.filter(F.col(id_col).isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x)) & F.exists(vector, lambda x: x != 0))
+        n = max(1, -(-good.count() // size))
+        dealt = good.select(F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int").alias(name), F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+        return dealt.groupBy(name, F.size("v").alias("dim")).agg(F.collect_list(F.struct("id", "v")).alias("r")).select(name, "dim", F.col("r.id").alias(f"{name}_ids"), F.flatten("r.v").alias(f"{name}_v"))
+
+    def meet(frames):
+        for frame in frames:
+            for _, row in frame.iterrows():
+                q, c = (np.asarray(row[f"{x}_v"]).reshape(len(row[f"{x}_ids"]), -1) for x in ("q", "c"))
+                q_ids, c_ids = np.asarray(row["q_ids"]), np.asarray(row["c_ids"])
+                order = np.argsort(c_ids, kind="stable")
+                c, c_ids = c[order], c_ids[order]
+                distance = np.round(1 - (q @ c.T) / (np.sqrt((q * q).sum(1))[:, None] * np.sqrt((c * c).sum(1))[None, :]), 6)
+                distance[q_ids[:, None] == c_ids[None, :]] = np.inf
+                best = np.argsort(distance, axis=1, kind="stable")[:, :k]
+                found = pd.DataFrame({"query_id": np.repeat(q_ids, best.shape[1]), "id": c_ids[best].ravel(), "distance": np.take_along_axis(distance, best, 1).ravel()})
+                yield found[np.isfinite(found["distance"])]
+
+    pairs = blocks(queries, query_block, "q").join(blocks(vectors, vector_block, "c"), "dim").mapInPandas(meet, "query_id long, id long, distance double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "distance")

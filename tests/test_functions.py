@@ -1,6 +1,7 @@
 """Column functions and operators on hand-written rows."""
 
 import datetime as dt
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -77,11 +78,16 @@ def test_cursors():
             feed.decode_cursor(bad, scope)
 
 
-def test_too_many_query_vectors(spark):
-    vectors = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], "vec_id long, embedding array<double>")
-    with pytest.raises(ValueError):
-        matching.nearest_by_cosine(vectors, vectors, 2, most_queries=4)
-    assert matching.nearest_by_cosine(vectors.limit(1), vectors, 2).count() == 2
+def test_nearest_vectors_in_blocks(spark):
+    """Any number of queries, in blocks of any size, finds what a plain comparison finds; odd vectors take no part."""
+    rows = [(i, [math.sin(i * j + 1.0) for j in range(1, 5)]) for i in range(60)] + [(100, None), (101, []), (102, [0.0] * 4), (103, [1.0, None, 0.0, 0.0]), (104, [1.0, 2.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    size = lambda v: math.sqrt(sum(x * x for x in v))
+    far = lambda v, w: round(1 - sum(x * y for x, y in zip(v, w)) / (size(v) * size(w)), 6)
+    good = rows[:60]
+    want = {(i, r, j, d) for i, v in good for r, (d, j) in enumerate(sorted((far(v, w), j) for j, w in good if j != i)[:3], 1)}
+    got = matching.nearest_by_cosine(vectors, vectors, 3, query_block=7, vector_block=9)
+    assert {(r.query_id, r.rank, r.vec_id, r.distance) for r in got.collect()} == want
 
 
 def test_radius_crosses_cells(spark):
