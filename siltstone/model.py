@@ -37,6 +37,45 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
              CAST(o_orderkey % 25 AS INT) AS jurisdiction_id, o_orderdate AS created_at, o_totalprice AS amount
            FROM orders""",
     ),
+    "fielded": (
+        ("lineitem", "orders"),
+        """SELECT l_orderkey * 10 + l_linenumber AS evidence_id, l_partkey AS project_id,
+             CASE WHEN l_returnflag = 'A' THEN 'city_permit' WHEN l_returnflag = 'R' THEN 'news_article' WHEN l_linestatus = 'O' THEN 'vendor_a' ELSE 'vendor_b' END AS source_type,
+             CASE WHEN l_returnflag = 'A' THEN 1 WHEN l_returnflag = 'R' THEN 3 ELSE 2 END AS tier,
+             CASE WHEN l_orderkey % 13 = 0 THEN NULL ELSE CAST(l_shipdate AS DATE) END AS evidence_date, o_orderdate AS collected_at, l_orderkey % 17 = 0 AS superseded,
+             CASE WHEN (l_orderkey + l_linenumber) % 10 = 0 THEN 'n/a' WHEN (l_orderkey + l_linenumber) % 10 < 5 THEN CAST(1 + l_suppkey % 12 AS VARCHAR(9)) END AS stories,
+             CASE (l_orderkey + l_suppkey) % 7 WHEN 0 THEN 'Condos' WHEN 1 THEN 'apartment' WHEN 2 THEN 'townhomes' WHEN 3 THEN 'warehouse' WHEN 4 THEN '  ' END AS product_type,
+             CASE l_suppkey % 5 WHEN 0 THEN 'Senior' WHEN 1 THEN 'student' WHEN 2 THEN 'Non Age-Restricted' WHEN 3 THEN 'adults' END AS age_restriction,
+             CASE WHEN l_linenumber % 3 = 0 THEN concat('Developer ', CAST(l_suppkey % 50 AS VARCHAR(9)), ', LLC') END AS developer,
+             CASE WHEN l_linenumber % 4 = 0 THEN CAST(CAST(l_shipdate AS DATE) AS VARCHAR(10)) WHEN l_linenumber % 4 = 1 THEN 'soon' END AS delivery,
+             CAST(l_quantity AS INT) AS units, CAST(l_linenumber % 7 AS INT) AS status_rank, concat('R', CAST(l_orderkey % 500 AS VARCHAR(9))) AS record_id
+           FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+    ),
+    "reference": (
+        ("orders",),
+        """SELECT o_orderkey AS reference_id, o_custkey AS article_id, CAST(1 + o_orderkey % 200 AS INT) AS project_id, CAST(o_orderkey % 3 AS INT) AS extraction_id, CAST(o_custkey % 3 AS INT) AS current_extraction_id,
+             CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE CAST(o_orderkey % 130 AS INT) END AS units, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE concat('Brand#', CAST(o_orderkey % 25 AS VARCHAR(9))) END AS developer,
+             CASE o_orderkey % 5 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' END AS confidence, CASE o_orderkey % 4 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'possible' WHEN 2 THEN 'new_candidate' ELSE 'discarded' END AS match_status,
+             CAST(o_orderkey % 3 AS INT) AS candidates, CAST(o_orderkey % 7 AS INT) AS status_rank, CAST(o_totalprice AS DOUBLE) / 500000 AS score, o_orderdate AS created_at
+           FROM orders""",
+    ),
+    "decision": (
+        ("orders",),
+        """SELECT o_orderkey AS item_id, o_custkey AS project_id, CASE o_orderkey % 5 WHEN 0 THEN 'accept_new' WHEN 1 THEN 'keep_old' WHEN 2 THEN 'custom' WHEN 3 THEN 'candidate_2' ELSE 'defer' END AS decision_type,
+             CASE o_orderkey % 4 WHEN 0 THEN 'field_change' WHEN 1 THEN 'new_candidate' WHEN 2 THEN 'override_contradiction' ELSE 'status_regression' END AS item_type, CASE WHEN o_orderkey % 3 = 0 THEN 'units' END AS field_column,
+             CASE o_orderkey % 6 WHEN 0 THEN 'staged' WHEN 1 THEN 'staged' WHEN 2 THEN 'open' ELSE 'committed' END AS state, CAST(o_orderkey % 25 AS INT) AS jurisdiction_id, o_orderdate AS decided_at,
+             concat(chr(123), '"current_value":"', CAST(o_orderkey % 90 AS VARCHAR(9)), '"', CASE WHEN o_orderkey % 4 = 1 THEN ',"field_name":"stories"' ELSE '' END, CASE WHEN o_orderkey % 8 = 0 THEN concat(',"current_override":', chr(123), '"value":"kept"', chr(125)) ELSE '' END,
+               CASE WHEN o_orderkey % 8 = 2 THEN concat(',"changes":[', chr(123), '"field":"developer","old":"was"', chr(125), ']') ELSE '' END, chr(125)) AS payload
+           FROM orders""",
+    ),
+    "override": (
+        ("part",),
+        """SELECT p_partkey AS project_id, CASE p_partkey % 3 WHEN 0 THEN 'units' WHEN 1 THEN 'stories' ELSE 'developer' END AS field,
+             CASE p_partkey % 3 WHEN 0 THEN CAST(p_size AS VARCHAR(9)) WHEN 1 THEN CAST(p_size % 12 AS VARCHAR(9)) ELSE p_brand END AS value,
+             p_partkey % 4 = 0 AS by_system, CASE WHEN p_partkey % 2 = 0 THEN 'until_newer_evidence' ELSE 'keep' END AS mode, p_partkey % 9 = 0 AS cleared,
+             CAST('1997-01-01' AS DATE) AS base_date, CAST(p_partkey % 3 + 1 AS INT) AS base_tier
+           FROM part""",
+    ),
     "activity": (
         ("events",),
         """SELECT event_id, ts AS occurred_at, user_id AS source_id, event_type, value, CAST(ts AS DATE) AS day FROM events""",
