@@ -68,6 +68,16 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                CASE WHEN o_orderkey % 8 = 2 THEN concat(',"changes":[', chr(123), '"field":"developer","old":"was"', chr(125), ']') ELSE '' END, chr(125)) AS payload
            FROM orders""",
     ),
+    "feed": (
+        ("orders",),
+        """SELECT o_orderkey AS row_id, CASE WHEN o_orderkey % 11 = 0 THEN '--' ELSE concat(CAST(o_orderkey % 100 AS VARCHAR(9)), '-', CAST(o_orderkey % 90000 AS VARCHAR(9)), '-', CAST(10000 + o_orderkey % 500 AS VARCHAR(9))) END AS permit,
+             CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE concat('C', CAST(o_orderkey AS VARCHAR(20))) END AS cofo_number, CASE o_orderkey % 3 WHEN 0 THEN 'CofO Issued' WHEN 1 THEN ' cofo issued ' ELSE 'Pending' END AS latest_status,
+             CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE concat(CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10)), 'T00:00:00.000') END AS issue_date,
+             CASE o_orderkey % 4 WHEN 0 THEN 'Apartment' WHEN 1 THEN 'Duplex' WHEN 2 THEN 'Retail' END AS use_desc, CAST(o_orderkey % 9999 AS VARCHAR(9)) AS book, CAST(o_orderkey % 999 AS VARCHAR(9)) AS page, CASE WHEN o_orderkey % 6 = 0 THEN 'x' ELSE CAST(o_custkey % 999 AS VARCHAR(9)) END AS parcel,
+             CASE o_orderkey % 5 WHEN 0 THEN 'Approved' WHEN 1 THEN 'Partial Approval' WHEN 2 THEN 'Not Ready' ELSE 'Completed' END AS result, CASE o_orderkey % 3 WHEN 0 THEN 'Issued' WHEN 1 THEN 'Expired' ELSE 'Pending CofO' END AS permit_status,
+             concat('  ', CAST(o_custkey % 900 AS VARCHAR(9)), ' Main St ') AS address, 33.5 + CAST(o_orderkey % 100 AS DOUBLE) / 64 AS lat, -118.5 + CAST(o_orderkey % 100 AS DOUBLE) / 64 AS lng, o_orderdate AS updated_at, CAST(o_custkey % 4 AS INT) AS source_id, CAST(o_totalprice AS DOUBLE) AS amount
+           FROM orders""",
+    ),
     "override": (
         ("part",),
         """SELECT p_partkey AS project_id, CASE p_partkey % 3 WHEN 0 THEN 'units' WHEN 1 THEN 'stories' ELSE 'developer' END AS field,

@@ -41,10 +41,3 @@ def candidate_value(spark, sf_dir):
 def linked_fields_by_evidence(spark, sf_dir):
     (evidence,) = views(spark, sf_dir, "evidence")
     return evidence.groupBy("developer_id").agg(F.array_join(F.array_sort(F.collect_set("source_type")), ",").alias("fields"))
-
-
-@query()
-def content_hash(spark, sf_dir):
-    """A hash of each event's content: its keys sorted, those that begin with a colon left out."""
-    entries = F.array_sort(F.map_entries(F.map_filter(F.from_json("props", "map<string,string>"), lambda k, v: ~k.startswith(":"))))
-    return table(spark, sf_dir, "events").select("event_id", F.sha2(F.to_json(F.map_from_entries(entries)), 256).alias("hash"))
