@@ -78,6 +78,15 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
              concat('  ', CAST(o_custkey % 900 AS VARCHAR(9)), ' Main St ') AS address, 33.5 + CAST(o_orderkey % 100 AS DOUBLE) / 64 AS lat, -118.5 + CAST(o_orderkey % 100 AS DOUBLE) / 64 AS lng, o_orderdate AS updated_at, CAST(o_custkey % 4 AS INT) AS source_id, CAST(o_totalprice AS DOUBLE) AS amount
            FROM orders""",
     ),
+    "article": (
+        ("orders",),
+        """SELECT o_orderkey AS article_id, CAST(o_custkey % 5 AS INT) AS market_id, concat('News of ', CAST(200 + o_orderkey % 700 AS VARCHAR(9)), ' Oak Avenue') AS title, o_orderdate AS published,
+             concat('The developer filed plans for a ', CAST(20 + o_orderkey % 900 AS VARCHAR(9)), '-unit senior housing project at ', CAST(100 + o_custkey % 800 AS VARCHAR(9)), ' North Main Street, Los Angeles, CA 900', CAST(10 + o_custkey % 80 AS VARCHAR(9)),
+               '. It has ', CAST(1 + o_orderkey % 90 AS VARCHAR(9)), ' affordable homes and townhomes under case CPC-20', CAST(10 + o_orderkey % 10 AS VARCHAR(9)), '-', CAST(1000 + o_orderkey % 9000 AS VARCHAR(9)), '. ',
+               CASE o_orderkey % 3 WHEN 0 THEN 'Crews broke ground on 2023-05-14. ' WHEN 1 THEN 'It is now leasing. ' ELSE '' END, 'Completion is expected in Q', CAST(1 + o_orderkey % 4 AS VARCHAR(9)), ' 20', CAST(24 + o_orderkey % 5 AS VARCHAR(9)),
+               '. Parcel ', CAST(1000 + o_custkey % 9000 AS VARCHAR(9)), '-', CAST(100 + o_orderkey % 900 AS VARCHAR(9)), '-', CAST(100 + o_custkey % 900 AS VARCHAR(9)), ' has permit 19010-10000-', CAST(10000 + o_orderkey % 90000 AS VARCHAR(9)), ' and fees of $250 rooms.') AS body
+           FROM orders""",
+    ),
     "override": (
         ("part",),
         """SELECT p_partkey AS project_id, CASE p_partkey % 3 WHEN 0 THEN 'units' WHEN 1 THEN 'stories' ELSE 'developer' END AS field,
