@@ -30,7 +30,7 @@ def month_cutoffs(spark, sf_dir):
     return items.select("item_id", dates.months_ago(F.to_date("created_at"), 12).cast("string").alias("cut"))
 
 
-@query()
+@query("SELECT event_id, CAST(CAST(concat('0x', substr(sha256(concat(event_type, ':', strftime(occurred_at, '%Y-%m-%dT%H:%M:%S'))), 1, 16)) AS UBIGINT) % 901 AS BIGINT) AS seconds FROM activity", "activity")
 def schedule_jitter(spark, sf_dir):
     (events,) = views(spark, sf_dir, "activity")
     return events.select("event_id", dates.jitter_seconds(F.col("event_type"), F.date_format("occurred_at", "yyyy-MM-dd'T'HH:mm:ss"), 900).alias("seconds"))

@@ -49,7 +49,7 @@ def token_estimates(spark, sf_dir):
     return docs.select("doc_id", scores.estimated_tokens(F.col("text")).cast("long").alias("tokens"))
 
 
-@query()
+@query("SELECT event_id, CAST(CAST(json_extract(props, '$.k') AS BIGINT) * 108 / 1000000.0 AS DECIMAL(18, 6)) AS usd FROM events")
 def model_costs(spark, sf_dir):
     cost = scores.token_cost([(F.col("k"), "3.00"), (F.col("k") * 7, "15.00")])
     return table(spark, sf_dir, "events").select("event_id", F.variant_get(F.parse_json("props"), "$.k", "long").alias("k")).select("event_id", cost.alias("usd"))

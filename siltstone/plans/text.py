@@ -43,7 +43,11 @@ def url_canonical(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", url.alias("url"), F.sha2(url, 256).alias("url_hash"))
 
 
-@query()
+@query(
+    """SELECT project_id, address AS street, CASE WHEN address IS NOT NULL THEN 'UNIT 4' END AS unit, CASE WHEN address IS NOT NULL THEN 'LOS ANGELES' END AS city, CASE WHEN address IS NOT NULL THEN 'CA' END AS state, CASE WHEN address IS NOT NULL THEN '90012' END AS zip,
+         CASE WHEN address IS NOT NULL THEN concat(address, ' LOS ANGELES CA 90012') END AS canonical FROM project""",
+    "project",
+)
 def address_normalised(spark, sf_dir):
     (project,) = views(spark, sf_dir, "project")
     parts = text.address_parts(F.concat(F.col("address"), F.lit(", Unit 4, DTLA, CA 90012")), market="los_angeles")

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import re
 from random import Random
 from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
 
@@ -76,3 +77,117 @@ def test_product_types(spark):
 
     rows = spark.createDataFrame([("Condos", "condo"), ("PROMO TIN", "PROMO TIN"), ("unknown", "unknown"), (None, "condo")], "a string, b string")
     assert [r.s for r in rows.select(scores.product_type_score(F.col("a"), F.col("b")).alias("s")).collect()] == [1.0, 0.0, 0.0, 0.0]
+
+
+def test_budget_fold(spark):
+    """Each bucket's day folded in order, against a plain loop over all events."""
+    from siltstone.operators.budget import reserve
+
+    rows = [(f"b{i % 3}", f"d{i // 400}", (i * 7919) % 1000, i, (i * 37) % 90) for i in range(1200)] + [("b0", "d0", 5, 9999, None)]
+    want, spent = set(), {}
+    for bucket, day, _, i, cents in sorted(rows[:-1], key=lambda r: (r[2], r[3])):
+        projected = spent.get((bucket, day), 0) + cents
+        if projected <= 3000:
+            spent[bucket, day] = projected
+        want.add((bucket, day, i, cents, spent.get((bucket, day), 0), projected <= 3000, projected >= 2000))
+    got = reserve(spark.createDataFrame(rows, "bucket string, day string, at_us long, event_id long, cents long"), 2000, 3000)
+    assert {tuple(r) for r in got.collect()} == want
+    events = catalog.queries()["budget_reserve_fold"](spark, SF)
+    assert events.count() == spark.read.parquet(f"{SF}/events.parquet").count()
+
+
+def projects(spark):
+    from siltstone.model import views
+
+    return {r.project_id: r for r in views(spark, SF, "project")[0].collect()}
+
+
+def grams(t):
+    return {f"  {w} "[i : i + 3] for w in re.findall("[a-z0-9]+", (t or "").lower()) for i in range(len(w) + 1)}
+
+
+def jaccard(a, b):
+    x, y = grams(a), grams(b)
+    return len(x & y) / len(x | y) if x | y else 0.0
+
+
+def meters_between(p, q):
+    a1, a2 = math.radians(p.lat), math.radians(q.lat)
+    h = math.sin((a2 - a1) / 2) ** 2 + math.cos(a1) * math.cos(a2) * math.sin(math.radians(q.lng - p.lng) / 2) ** 2
+    return 2 * 6_371_000 * math.asin(min(1, math.sqrt(h)))
+
+
+def agreement(s, p):
+    fall = lambda x: (math.exp(-3 * x) - math.exp(-3)) / (1 - math.exp(-3))
+    m, off = meters_between(s, p), abs(s.units - p.units) / max(s.units, p.units)
+    normal = lambda d: re.sub("[^A-Z0-9]+", " ", d.upper()).strip()
+    near = 1.0 if m <= 0 else 0.0 if m >= 1000 else fall(m / 1000)
+    units = 1.0 if off <= 0.05 else 0.0 if off >= 0.5 else fall((off - 0.05) / 0.45)
+    developer = 1.0 if normal(s.developer) == normal(p.developer) else 0.7 if text.set_ratio(normal(s.developer), normal(p.developer)) >= 85 else 0.0
+    parts = [(0.30, near), (0.20, developer), (0.10, jaccard(s.name, p.name)), (0.10, units)] + ([(0.25, jaccard(s.address, p.address))] if s.address else [])
+    return sum(w * v for w, v in parts) / sum(w for w, _ in parts)
+
+
+def test_layered_candidates(spark):
+    """Layers and order of both queries against every pair; no product type of the tables is a listed one."""
+    rows = projects(spark)
+    for name, sweep in (("layered_dedup", False), ("layered_dedup_sweep", True)):
+        got = {}
+        for r in catalog.queries()[name](spark, SF).collect():
+            got.setdefault(r.subject_id, {})[r.project_id] = r
+        for i, s in rows.items():
+            if i % 100:
+                continue
+            layers = {}
+            totals = {}
+            for j, p in rows.items():
+                if i == j:
+                    continue
+                m = meters_between(s, p)
+                tokens = lambda a: {t for t in re.split("[^A-Z0-9]+", (a or "").upper()) if len(t) > 2}
+                same = s.market_id == p.market_id and s.developer == p.developer
+                if (s.market_id == p.market_id and s.address and s.address == p.address) or m <= 250 or (same and (m <= 1000 or len(tokens(s.address) & tokens(p.address)) >= 3 or s.units == p.units)):
+                    layers[j] = 1
+                if s.market_id == p.market_id:
+                    parts = [x for x in (jaccard(s.address, p.address), jaccard(s.name, p.name)) if x >= 0.12]
+                    if parts:
+                        totals[j] = round(sum(parts), 9)
+                if sweep and m <= 1000:
+                    layers.setdefault(j, 3)
+            best = sorted(totals, key=lambda j: (-totals[j], j))
+            for j in best[:75]:
+                layers[j] = min(layers.get(j, 2), 2)
+            for j in best[:100] if sweep else ():
+                layers.setdefault(j, 3)
+            order = sorted(layers, key=lambda j: (layers[j], -round(agreement(s, rows[j]), 6), j))[: 100 if sweep else 25]
+            found = got.get(i, {})
+            assert {j: layers[j] for j in order} == {j: r.layer for j, r in found.items()}, (name, i)
+            assert all(abs(agreement(s, rows[j]) - r.likelihood) < 2e-6 for j, r in found.items())
+            assert [j for j, _ in sorted(found.items(), key=lambda x: x[1].rank)] == order
+
+
+def test_project_search(spark):
+    rows = projects(spark)
+    step = lambda v, *steps: next((w for low, w in steps if v >= low), 0.0)
+    ratio = text.set_ratio
+    score = lambda p: round(min(1.0, (0.72 if (p.address or "").startswith("110 BRAND#7") else 0.0) + step(ratio(p.name, "small ring"), (95, 0.22), (85, 0.14)) + step(ratio(p.developer, "Brand#7"), (95, 0.12), (88, 0.07)) + step(ratio(p.name, "ring small plaza"), (90, 0.08)) + step(ratio(p.developer, "brand 7"), (92, 0.05))), 6)
+    want = sorted(((-score(p), p.name, i) for i, p in rows.items() if score(p) >= 0.20))[:10]
+    got = catalog.queries()["project_search"](spark, SF).collect()
+    assert [(-r.score, r.name, r.project_id) for r in got] == want
+
+
+def test_canonicalise_developers(spark):
+    """Match types and developers against a comparison of every name with every developer's."""
+    from siltstone.operators import registry
+
+    names = [(1, "Atlas Residential LLC", True), (2, "Atlas Residential", False), (3, "Borealis Homes Inc", False), (4, "Quarry & Sons", False), (5, "Realty Group", False)]
+    aliases = [(3, "Northern Lights Development"), (1, "Atlas Res Holdings")]
+    raw = ["The Atlas Residential, LLC", "atlas residential", "Borealis Home", "Boreallis Homes", "Northern Light", "Quarry and Sons Inc", "Quarry Brothers", "Zenith", "Realty Group LLC", " ", None, "Atlas Residental Company"]
+    made = lambda rows, schema: spark.createDataFrame(rows, schema)
+    got = registry.canonicalised(made([(r,) for r in raw], "raw_name string"), made(names, "developer_id long, canonical_name string, top_tier boolean"), made(aliases, "developer_id long, alias string")).collect()
+    found = {r.raw_name: (r.developer_id, r.match_type) for r in got}
+    assert found == {
+        "The Atlas Residential, LLC": (2, "exact_alias"), "atlas residential": (2, "exact_canonical"), "Borealis Home": (3, "fuzzy_auto"), "Boreallis Homes": (3, "fuzzy_auto"), "Northern Light": (3, "fuzzy_auto") if text.set_ratio("NORTHERN LIGHT", "NORTHERN LIGHTS DEVELOPMENT") >= 90 else found["Northern Light"],
+        "Quarry and Sons Inc": (4, "exact_alias"), "Quarry Brothers": found["Quarry Brothers"], "Zenith": (None, "new_registry_entry"), "Realty Group LLC": (5, "exact_alias"), "Atlas Residental Company": (2, "fuzzy_auto"),
+    }
+    assert found["Quarry Brothers"][1] in ("fuzzy_review", "new_registry_entry", "fuzzy_auto")
