@@ -64,3 +64,39 @@ def material_delta(current: Column, candidate: Column, share: float = 0.10) -> C
 def exceeds_delta(current: Column, new: Column, share: float) -> Column:
     """Relative change over a threshold; unknown or equal counts never exceed."""
     return F.coalesce((current != new) & (F.try_divide(F.abs(new - current), F.greatest(F.abs(current), F.lit(1))) > share), F.lit(False))
+
+
+def excerpts(json: Column) -> Column:
+    """array(struct(start, end)) of passage excerpts, given as a list or under one of three keys."""
+    kind = "array<struct<start: bigint, end: bigint>>"
+    under = [F.from_json(F.to_json(F.try_variant_get(F.try_parse_json(json), f"$.{key}", "variant")), kind) for key in ("passage_excerpts", "excerpts", "items")]
+    return F.coalesce(F.when(F.trim(json).startswith("["), F.from_json(json, kind)), *under, F.array().cast(kind))
+
+
+def excerpt_span(found: Column) -> Column:
+    """struct(start, end): from the least start to the greatest end; nulls without an excerpt."""
+    return F.struct(F.array_min(F.transform(found, lambda e: e["start"])).alias("start"), F.array_max(F.transform(found, lambda e: e["end"])).alias("end"))
+
+
+def clean_identifiers(values: Column) -> Column:
+    """A map of identifier lists with sorted, distinct, trimmed values, and without kinds that have none."""
+    tidy = F.transform_values(values, lambda _, v: F.array_sort(F.array_distinct(F.filter(F.transform(v, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")))))
+    return F.map_filter(tidy, lambda _, v: F.size(v) > 0)
+
+
+def identifier_line(values: Column) -> Column:
+    """A map of identifier lists as kind:a|b, the kinds in order; '' for none."""
+    entries = F.array_sort(F.map_entries(F.coalesce(values, F.create_map().cast("map<string,array<string>>"))))
+    return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit(":"), F.array_join(e["value"], "|"))), ",")
+
+
+def first_json_text(json: Column, default: Column, *keys: str) -> Column:
+    """The first of the keys that has a text, else the default."""
+    return F.coalesce(*[F.nullif(F.trim(F.try_variant_get(F.try_parse_json(json), f"$.{k}", "string")), F.lit("")) for k in keys], default)
+
+
+def one_of(value: Column, *columns: Column) -> Column:
+    """Whether a text is loosely equal (letters and digits, in lower case) to one of the columns."""
+    loose = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ")
+    tidy = lambda c: F.trim(loose(c))
+    return F.coalesce(F.array_contains(F.array_compact(F.array(*map(tidy, columns))), tidy(value)), F.lit(False))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from siltstone.model import views
 from siltstone.operators import extraction as extraction_op
 from siltstone.operators import news as op
+from siltstone.operators import pipelines
 from siltstone.registry import query
 from siltstone.session import table
 
@@ -172,3 +173,35 @@ def resolve_all_counters(spark, sf_dir):
     changed = rows.groupBy("project_id").agg(F.count_if(F.col("u") != F.col("units")).alias("changed"))
     kind = F.when(F.col("changed") == 0, "unchanged").when(F.col("changed") < 20, "few").otherwise("many")
     return changed.groupBy(kind.alias("class")).agg(F.count(F.lit(1)).alias("projects"), F.sum("changed").alias("changes"))
+
+
+@query(
+    f"""WITH {_NAMED}, cur AS (SELECT *, reference_id % 300 AS article_id, reference_id % 4 AS hash FROM r WHERE reference_id % 5 = 0 OR reference_id % 2 = 1),
+       j AS (SELECT cur.*, c.status AS s, CASE WHEN c.status = 'confirmed' THEN best END AS p, CASE WHEN developer IS NOT NULL AND units >= 10 THEN 'new_candidate' ELSE 'discarded' END AS rest FROM cur LEFT JOIN composite c USING (reference_id)),
+       k AS (SELECT reference_id % 300 AS article_id, reference_id % 4 AS hash, max(CASE WHEN reference_id % 16 <> 0 THEN reference_id - 1000000 END) AS owner FROM r WHERE reference_id % 8 = 0 GROUP BY ALL),
+       n AS (SELECT *, row_number() OVER (PARTITION BY article_id, hash, p ORDER BY reference_id) AS nth FROM j WHERE s = 'confirmed'),
+       w AS (SELECT n.reference_id, CASE WHEN nth > 1 THEN 'skip' WHEN k.article_id IS NULL THEN 'insert' WHEN owner IS NULL THEN 'link' ELSE 'skip' END AS action FROM n LEFT JOIN k USING (article_id, hash))
+       SELECT reference_id, CASE WHEN s IS NOT NULL THEN 'address' ELSE rest END AS step, coalesce(s, rest) AS status, p AS project_id, action FROM j LEFT JOIN w USING (reference_id)""",
+    "project",
+)
+def integrate_run(spark, sf_dir):
+    """References of current extractions through match, evidence and review."""
+    refs, project = _named(spark, sf_dir)
+    k = F.col("reference_id")
+    rows = refs.withColumns({"article_id": k % 300, "hash": k % 4, "extraction_id": (k % 2).cast("int"), "current_extraction_id": F.when(k % 5 != 0, 1)})
+    existing = rows.filter("reference_id % 8 = 0").select(F.lit("news_article").alias("source_type"), F.col("article_id").cast("string").alias("record_id"), "hash", F.when(k % 16 != 0, k - 1000000).alias("project_id"))
+    carded = project.select("project_id", F.lit("units").alias("field")).filter("project_id % 2 = 0")
+    return pipelines.integrate(rows, project, existing, carded)[0]
+
+
+@query(
+    f"""WITH {_NAMED}, cur AS (SELECT * FROM r WHERE reference_id % 5 = 0 OR reference_id % 2 = 1) SELECT DISTINCT c.best AS project_id, 'units' AS field, cur.units AS proposed FROM cur JOIN composite c USING (reference_id) JOIN project p ON p.project_id = c.best WHERE status = 'confirmed' AND cur.units <> p.units AND c.best % 2 <> 0""",
+    "project",
+)
+def integration_cards(spark, sf_dir):
+    """Cards for what current references change on confirmed projects without an open card of the field."""
+    refs, project = _named(spark, sf_dir)
+    k = F.col("reference_id")
+    rows = refs.withColumns({"article_id": k % 300, "hash": k % 4, "extraction_id": (k % 2).cast("int"), "current_extraction_id": F.when(k % 5 != 0, 1)})
+    existing = rows.limit(0).select(F.lit("news_article").alias("source_type"), F.col("article_id").cast("string").alias("record_id"), "hash", k.alias("project_id"))
+    return pipelines.integrate(rows, project, existing, project.filter("project_id % 2 = 0").select("project_id", F.lit("units").alias("field")))[1]
