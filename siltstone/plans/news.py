@@ -163,7 +163,7 @@ def latest_notes(spark, sf_dir):
 
 
 @query(
-    """WITH r AS (SELECT e.project_id, count(*) FILTER (WHERE e.units <> p.units) AS changed FROM fielded e JOIN project p USING (project_id) WHERE NOT superseded GROUP BY e.project_id) SELECT CASE WHEN changed = 0 THEN 'unchanged' WHEN changed < 20 THEN 'few' ELSE 'many' END AS class, count(*) AS projects, sum(changed) AS changes FROM r GROUP BY 1""",
+    """WITH r AS (SELECT e.project_id, count(*) FILTER (WHERE e.units <> p.units) AS changed FROM fielded e JOIN project p USING (project_id) WHERE NOT superseded GROUP BY e.project_id) SELECT CASE WHEN changed = 0 THEN 'unchanged' WHEN changed < 20 THEN 'few' ELSE 'many' END AS class, count(*) AS projects, CAST(sum(changed) AS BIGINT) AS changes FROM r GROUP BY 1""",
     "fielded", "project",
 )
 def resolve_all_counters(spark, sf_dir):

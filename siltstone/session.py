@@ -29,7 +29,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a test-only default is set where none is configured."""
+    """The cluster's shared checkpoint folder; on a local master a folder of this machine is set where none is configured.
+
+    Elsewhere a missing folder is a RuntimeError, since one machine's folder is lost with it.
+    """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -37,5 +40,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(configured)
         return configured
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir("/tmp/siltstone-checkpoints")
     return sc._jsc.sc().getCheckpointDir().get()
