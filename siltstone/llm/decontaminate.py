@@ -10,9 +10,11 @@ up among the items' fingerprints, and each hit is extended to the windows around
 words are compared as they are; so hashes only find candidates and decide nothing. Items
 shorter than a window are found by hashes of their own length, and compared likewise.
 
-The benchmark is joined in blocks of at most `block_words` words. Each block's table is
-broadcast, so its size is bounded whatever the benchmark's; further blocks are further
-passes over the documents, united per document.
+The benchmark is joined in blocks of about `block_words` words (an item is not split). Each
+block's table is broadcast, so its size is bounded whatever the benchmark's. A benchmark of
+several blocks is met by those documents only that share a fingerprint with it: its
+fingerprints are sorted numbers, 8 bytes each, broadcast `filter_prints` at a time, and one
+pass over all documents marks who goes on to the passes with blocks.
 
 Defined results: null texts have no words; an item without words has no window; null ids
 are ids like others (of items, they are left out); repeated rows of a document give
@@ -32,15 +34,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.wordbytes import NOT_ALNUM, Words, gram_hashes, one_row_grams, text_slices, window_minima
+from siltstone.session import ensure_checkpoint_dir
 
 
 @dataclass(frozen=True)
 class WinnowParams:
-    """window: words of a shared span that is always found; k: words of a fingerprint; block_words bounds a broadcast."""
+    """window: words of a shared span that is always found; k: words of a fingerprint; block_words and filter_prints bound what is broadcast."""
 
     window: int = 10
     k: int = 5
-    block_words: int = 2_000_000
+    block_words: int = 400_000
+    filter_prints: int = 8_000_000
 
 
 class Block:
@@ -137,6 +141,41 @@ def _benchmark_blocks(items: DataFrame, params: WinnowParams, id_col: str, text_
         yield Block([r[0] for r in rows], [r[1] for r in rows], params)
 
 
+class Filter:
+    """Sorted hashes of some of the benchmark's fingerprints and short items."""
+
+    def __init__(self, prints: list[np.ndarray], short: list[tuple[int, np.ndarray]], params: WinnowParams):
+        self.params = params
+        self.prints = np.unique(np.concatenate([np.zeros(0, np.uint64), *prints]))
+        self.short = {size: np.unique(np.concatenate([h for s, h in short if s == size])) for size in {s for s, _ in short}}
+
+    def may_hit(self, words: Words) -> np.ndarray:
+        """Rows that share a fingerprint or the hash of a short item."""
+        h = words.hashes()
+        kept, at = fingerprints(words, h, self.params)
+        hit = [at[member(kept, self.prints)]]
+        for size, table in self.short.items():
+            grams = gram_hashes(h, size)
+            hit.append(np.flatnonzero(member(grams, table) & one_row_grams(words, size)))
+        out = np.zeros(len(words.first) - 1, bool)
+        out[words.row[np.concatenate(hit)]] = True
+        return out
+
+
+def _filters(blocks, params: WinnowParams):
+    """The fingerprints of all blocks, `filter_prints` at a time."""
+    prints, short, n = [], [], 0
+    for block in blocks:
+        prints.append(block.prints)
+        short += list(block.short.items())
+        n += len(block.prints) + sum(len(x) for x in block.short.values())
+        if n >= params.filter_prints:
+            yield Filter(prints, short, params)
+            prints, short, n = [], [], 0
+    if n:
+        yield Filter(prints, short, params)
+
+
 def _intervals(hit: np.ndarray) -> np.ndarray:
     edges = np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))
     return np.stack([np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)], 1).ravel()
@@ -156,8 +195,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, params: WinnowParams =
     passes = []
     blocks = _benchmark_blocks(items, params, item_col, item_text_col)
     first = next(blocks)
-    second = next(blocks, None)
-    if second is None:
+    if next(blocks, None) is None:
         shared = sc.broadcast(first)
 
         def scan(batches):
@@ -186,14 +224,25 @@ def find_contamination(docs: DataFrame, items: DataFrame, params: WinnowParams =
 
         return scan
 
-    def all_blocks():
-        yield first
-        yield second
-        yield from blocks
-
+    # who goes on: one pass marks documents by the whole benchmark's fingerprints, the rest share none and are done
+    ensure_checkpoint_dir(docs.sparkSession)
     keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
-    for block in all_blocks():
-        passes.append(keyed.mapInArrow(spans_of(sc.broadcast(block)), f"id {kind}, h long, n_words long, spans array<long>, items array<string>"))
+    filters = [sc.broadcast(f) for f in _filters(_benchmark_blocks(items, params, item_col, item_text_col), params)]
+
+    def mark(batches):
+        for batch in batches:
+            for part in text_slices(batch):
+                words = Words(part.column(1), NOT_ALNUM, lower=True)
+                hit = np.zeros(part.num_rows, bool)
+                for f in filters:
+                    hit |= f.value.may_hit(words)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.diff(words.first)), pa.array(hit)], ["id", "text", "h", "n_words", "goes_on"])
+
+    marked = keyed.mapInArrow(mark, f"id {kind}, text string, h long, n_words long, goes_on boolean")
+    asked = marked.filter("goes_on").select("id", "text", "h").checkpoint()
+    clean = marked.filter("NOT goes_on").select(F.col("id").alias(id_col), "n_words", *(F.lit(0).cast("long").alias(c) for c in ("n_hit", "n_items")), F.lit(_digest([])).alias("items_sha256"), F.lit(False).alias("contaminated"))
+    for block in _benchmark_blocks(items, params, item_col, item_text_col):
+        passes.append(asked.mapInArrow(spans_of(sc.broadcast(block)), f"id {kind}, h long, n_words long, spans array<long>, items array<string>"))
     united = passes[0]
     for other in passes[1:]:
         united = united.unionAll(other)
@@ -214,7 +263,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, params: WinnowParams =
                     [id_col, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
                 )
 
-    return grouped.mapInArrow(summed, f"`{id_col}` {kind}, {SCHEMA}")
+    return clean.unionAll(grouped.mapInArrow(summed, f"`{id_col}` {kind}, {SCHEMA}"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, params: WinnowParams = WinnowParams(), text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
