@@ -16,13 +16,13 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from siltstone.llm import queries
-from siltstone.llm.decontaminate import find_contamination
+from siltstone.llm.decontaminate import WinnowParams, drop_contaminated, find_contamination
 from siltstone.llm.jaccard import JaccardParams, jaccard_classes, keep_one_of_each
 from siltstone.llm.language import LanguageParams, fit_language, frequencies, identify_language
 from siltstone.llm.licenses import TEMPLATES, scan_licenses
 from siltstone.llm.lm import LmParams, score, train
 from siltstone.llm.packing import pack
-from siltstone.llm.secrets import find_spans, scan_secrets
+from siltstone.llm.secrets import find_spans, redact_secrets, scan_secrets
 from siltstone.llm.substrings import SubstringParams, mark_repeats
 from siltstone.llm.toxicity import ToxicityParams, fit_toxicity, keep_clean, present, score_toxicity
 
@@ -368,6 +368,48 @@ def test_stages(spark, docs, texts):
     assert corpus_pipeline.hide_secrets(spark, docs, SF).count() == len(texts)
 
 
+@pytest.mark.parametrize("params", [WinnowParams(block_words=300), WinnowParams(block_words=300, filter_prints=50)])
+def test_contamination_in_blocks(spark, docs, params):
+    """A benchmark of many blocks gives what one block gives, repeated documents and short items included."""
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").select(F.col("item_id").cast("string").alias("item_id"), "text")
+    items = items.unionByName(spark.createDataFrame([("short", "the and"), ("none", None), ("blank", " "), (None, "the and of")], "item_id string, text string"))
+    twice = docs.unionAll(docs.filter("doc_id % 3 = 0"))
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    one = rows(find_contamination(twice, items))
+    assert rows(find_contamination(twice, items, params)) == one and any(r[5] for r in one) and not all(r[5] for r in one)
+    gone = {r[0] for r in one if r[5]}
+    assert {r.doc_id for r in drop_contaminated(twice, items, params).collect()} == {r[0] for r in one} - gone
+
+
+def test_pipeline_run(spark, docs):
+    """The whole run packs what the four stages before keep, each on its predecessor's output."""
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, SF)
+    tokenizer = Tokenizer.from_file(queries.vocabulary_path())
+    want = {r.doc_id: [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 0] for r in kept.collect()}
+    rows = corpus_pipeline.run(spark, SF).collect()
+    assert {r.doc_id for r in rows} == want.keys() and 0 < len(want) < docs.count()
+    for r in rows:
+        assert r.ids_crc32 == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in want[r.doc_id][r.start : r.start + r.length]))
+    assert sum(r.length for r in rows) == sum(map(len, want.values()))
+
+
+def test_stages_on_odd_rows(spark, odd):
+    """Stages keep columns, and rows that their operator has nothing against."""
+    bench = spark.createDataFrame([(1, WORDS)], "item_id long, text string")
+    left = drop_contaminated(odd, bench)
+    assert left.columns == odd.columns and sorted((r.doc_id or 0) for r in left.collect()) == [0, 1, 2, 3, 6]
+    hidden = redact_secrets(odd.withColumn("text", F.when(F.col("doc_id") == 3, "password = hunter2x!").otherwise(F.col("text"))))
+    texts = {r.doc_id: (r.text, r.n_chars) for r in hidden.collect()}
+    assert hidden.columns == odd.columns and "hunter2x" not in texts[3][0] and texts[3][1] == len(texts[3][0]) and texts[4][0] == WORDS and texts[1][0] is None
+    packed = pack(odd, queries.vocabulary_path()).collect()
+    assert sorted({r.doc_id for r in packed if r.doc_id is not None}) == [1, 2, 3, 4, 5, 6] and sum(r.doc_id == 4 for r in packed) == 2
+    assert all(sum(q.length for q in packed if q.sequence_id == r.sequence_id) <= 2048 for r in packed)
+    for empty in (drop_contaminated(odd.limit(0), bench), redact_secrets(odd.limit(0)), pack(odd.limit(0), queries.vocabulary_path())):
+        assert empty.count() == 0
+
+
 def operators(spark, docs):
     bench = spark.createDataFrame([(1, WORDS), (2, None), (3, "")], "item_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(3, 7)], "doc_id long, toxic int")
