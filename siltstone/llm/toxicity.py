@@ -102,7 +102,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, params: ToxicityParams = To
         for batch in batches:
             y, texts = batch.column(0).to_numpy(), text_list(batch.column(1))
             rows += np.bincount(y, minlength=2)
-            for low, high in row_slices(texts):
+            for low, high in row_slices(texts, 1 << 18):
                 at, bucket = present(texts[low:high], sizes, bits)
                 for label in (0, 1):
                     found[label] += np.bincount(bucket[y[low:high][at] == label], minlength=size)
@@ -129,7 +129,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, params: ToxicityParams = To
         for batch in batches:
             texts = text_list(batch.column(1))
             lists = []
-            for low, high in row_slices(texts):
+            for low, high in row_slices(texts, 1 << 18):
                 at, found = present(texts[low:high], sizes, bits, kept)
                 lists += np.split(column[found], np.searchsorted(at, np.arange(1, high - low)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(lists, pa.list_(pa.int32()))], ["y", "h", "f"])
