@@ -8,11 +8,10 @@ block of each, so a query set of any size meets every row without being broadcas
 1. Each list gives its k best entries of each block; with their vectors' other partial
    scores they make sums, of which the k-th best per query is a bound that the answer
    reaches.
-2. That bound is a safe cutoff: a vector whose shifted partial scores (less each list's
-   least) are all below (bound - sum of least) / m cannot reach it. Per query it goes to
-   every block with its queries; each list then gives all entries that reach it, and a
-   vector leaves if the sum of its given entries, and the cutoff for those not given,
-   stays below the bound.
+2. That bound is a safe cutoff: of m lists, a vector whose shifted partial scores (less
+   each list's least) are all below (bound - sum of least) / m cannot reach it. Per query
+   it goes to every block with its queries; a list gives all entries that reach it, and
+   vectors that no list gives leave.
 3. The scores of those that remain are resolved exactly, and the k best per block meet.
 
 Defined results: a vector that is null or empty, holds a null or a non-finite component,
@@ -35,14 +34,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from siltstone.session import ensure_checkpoint_dir
+
+
+#: Stands for no bound: the least long lets every vector pass.
+_NONE = -(2**63)
+
 
 @dataclass(frozen=True)
 class SearchParams:
-    """k: rows per query; groups: lists that a score is summed from; the blocks bound what a task holds."""
+    """k: rows per query; groups: lists that a score is summed from; blocks and slices bound what a task holds."""
 
     k: int = 20
     groups: int = 4
     query_block: int = 2048
+    query_slice: int = 256
     vector_block: int = 8192
 
 
@@ -69,20 +75,6 @@ def _partials(q: np.ndarray, c: np.ndarray, groups: int) -> list[np.ndarray]:
     return [q[:, g] @ c[:, g].T for g in cuts]
 
 
-def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """For each row of `score`, positions of its k greatest, ties to smaller ids (ids ascend)."""
-    n = score.shape[1]
-    if n <= k:
-        return np.tile(np.arange(n), (len(score), 1))
-    order = np.argpartition(-score, k - 1, axis=1)[:, :k]
-    least = np.take_along_axis(score, order, 1).min(1)
-    tied = np.flatnonzero((score >= least[:, None]).sum(1) > k)
-    for i in tied:  # argpartition takes any of those that tie with the last
-        at = np.flatnonzero(score[i] >= least[i])
-        order[i] = at[np.lexsort((at, -score[i, at]))][:k]
-    return order
-
-
 def top_k(vectors: DataFrame, queries: DataFrame, params: SearchParams = SearchParams()) -> DataFrame:
     """`vectors` and `queries` are (id long, v array<long>): query_id, rank, vec_id, score."""
     usable = lambda d: d.filter(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).select("id", "v").dropDuplicates(["id", "v"])
@@ -100,32 +92,30 @@ def top_k(vectors: DataFrame, queries: DataFrame, params: SearchParams = SearchP
         order = np.argsort(c_ids, kind="stable")
         return q_ids, q, c_ids[order], c[order]
 
+    def slices(q: np.ndarray):
+        return (slice(at, at + params.query_slice) for at in range(0, len(q), params.query_slice))
+
     def gather(frames):
         for frame in frames:
             for _, row in frame.iterrows():
-                q_ids, q, c_ids, c = unpack(row)
-                lists = _partials(q, c, groups)
-                score = sum(lists)
-                score[q_ids[:, None] == c_ids[None, :]] = np.iinfo(np.int64).min if score.dtype == np.int64 else -np.inf
-                least = np.stack([p.min(1) for p in lists], 1)
-                for i, query in enumerate(q_ids.tolist()):
-                    seen = np.unique(np.concatenate([np.argpartition(-p[i], min(k, len(c_ids) - 1))[: k + 1] for p in lists]))
-                    sums = score[i, seen]
-                    sums = np.sort(sums[np.isfinite(sums) if sums.dtype != np.int64 else sums > np.iinfo(np.int64).min])[::-1][:k]
-                    yield pd.DataFrame({"query_id": [query], "dim": [q.shape[1]], "sums": [sums.astype(np.int64).tolist()], "least": [least[i].astype(np.int64).tolist()]})
-
-    def gather_joined(frames):
-        held, n = [], 0
-        for out in gather(frames):
-            held.append(out)
-            n += 1
-            if n == 1000:
-                yield pd.concat(held)
-                held, n = [], 0
-        if held:
-            yield pd.concat(held)
-
-    lists = pairs.mapInPandas(gather_joined, "query_id long, dim int, sums array<long>, least array<long>")
+                all_ids, q, c_ids, c = unpack(row)
+                for part in slices(q):
+                    q_ids, lists = all_ids[part], _partials(q[part], c, groups)
+                    # a query itself may be among the best, so each list gives one more
+                    n = min(k + 1, len(c_ids))
+                    at = np.concatenate([np.argpartition(p, len(c_ids) - n, axis=1)[:, len(c_ids) - n :] for p in lists], axis=1)
+                    at.sort(axis=1)
+                    counts = c_ids[at] != q_ids[:, None]
+                    counts[:, 1:] &= at[:, 1:] != at[:, :-1]
+                    score = np.where(counts, sum(np.take_along_axis(p, at, 1) for p in lists).astype(np.int64), _NONE)
+                    score = np.sort(score, axis=1)[:, ::-1][:, :k]
+                    sums = [s[:m].tolist() for s, m in zip(score, np.minimum(counts.sum(1), k).tolist(), strict=True)]
+                    least = np.stack([p.min(1) for p in lists], 1).astype(np.int64)
+                    yield pd.DataFrame({"query_id": q_ids, "dim": q.shape[1], "sums": sums, "least": least.tolist()})
+
+    # written once, since both the bound and the least scores come of it
+    ensure_checkpoint_dir(vectors.sparkSession)
+    lists = pairs.mapInPandas(gather, "query_id long, dim int, sums array<long>, least array<long>").checkpoint()
     sums = lists.select("query_id", F.explode("sums").alias("s"))
     ranked = sums.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"))))
     # each sum is of another pair of vectors, so the k-th best of an id is reached; with fewer than k there is no bound: the least long lets every vector pass
@@ -138,34 +128,31 @@ def top_k(vectors: DataFrame, queries: DataFrame, params: SearchParams = SearchP
     n_q = max(1, -(-usable(queries).count() // params.query_block))
     blocked = blocked.withColumn("q", F.pmod(F.xxhash64("id", "v"), F.lit(n_q)).cast("int")).groupBy("q", "dim")
     blocked = blocked.agg(F.collect_list(F.struct("id", "v", "least", "bound")).alias("rows")).select(
-        "q", "dim", F.col("rows.id").alias("q_ids"), F.flatten("rows.v").alias("q_v"), F.flatten("rows.least").alias("q_least"), F.transform("rows.bound", lambda b: F.coalesce(b, F.lit(-(2**63)))).alias("q_bound")
+        "q", "dim", F.col("rows.id").alias("q_ids"), F.flatten("rows.v").alias("q_v"), F.flatten("rows.least").alias("q_least"), F.transform("rows.bound", lambda b: F.coalesce(b, F.lit(_NONE))).alias("q_bound")
     )
 
     def resolve(frames):
         for frame in frames:
             for _, row in frame.iterrows():
-                q_ids, q, c_ids, c = unpack(row)
-                lists = _partials(q, c, groups)
-                bound, least = np.asarray(row["q_bound"], np.int64), np.asarray(row["q_least"], np.int64).reshape(len(q_ids), -1)
-                free = bound == np.iinfo(np.int64).min
-                cutoff = np.where(free, 0, (bound.astype(float) - least.sum(1)) / len(lists))
-                upper, any_given = np.zeros(lists[0].shape, np.float64), np.zeros(lists[0].shape, bool)
-                for g, p in enumerate(lists):
-                    shifted = p - least[:, g : g + 1]
-                    given = shifted >= cutoff[:, None]
-                    any_given |= given
-                    upper += np.where(given, shifted, cutoff[:, None])
-                stay = (any_given & (upper >= (bound - least.sum(1) - 1e-6)[:, None].astype(float))) | free[:, None]
-                stay &= q_ids[:, None] != c_ids[None, :]
-                at_q, at_c = np.nonzero(stay)
-                exact = sum(p[at_q, at_c] for p in lists).astype(np.int64)
-                enough = (exact >= bound[at_q]) | free[at_q]
-                at_q, at_c, exact = at_q[enough], at_c[enough], exact[enough]
-                order = np.lexsort((c_ids[at_c], -exact, at_q))
-                at_q, at_c, exact = at_q[order], at_c[order], exact[order]
-                first = np.searchsorted(at_q, at_q)
-                top = np.arange(len(at_q)) - first < k
-                yield pd.DataFrame({"query_id": q_ids[at_q[top]], "vec_id": c_ids[at_c[top]], "score": exact[top]})
+                all_ids, q, c_ids, c = unpack(row)
+                bounds, leasts = np.asarray(row["q_bound"], np.int64), np.asarray(row["q_least"], np.int64).reshape(len(all_ids), -1)
+                for part in slices(q):
+                    q_ids, bound, least = all_ids[part], bounds[part], leasts[part]
+                    lists = _partials(q[part], c, groups)
+                    free = bound == _NONE
+                    cutoff = least + ((np.where(free, 0, bound) - least.sum(1)) // len(lists))[:, None]
+                    stay = np.repeat(free[:, None], len(c_ids), axis=1)
+                    for g, p in enumerate(lists):
+                        stay |= p >= cutoff[:, g : g + 1].astype(p.dtype)
+                    at_q, at_c = np.nonzero(stay)
+                    exact = sum(p[at_q, at_c] for p in lists).astype(np.int64)
+                    enough = (exact >= bound[at_q]) & (q_ids[at_q] != c_ids[at_c])
+                    at_q, at_c, exact = at_q[enough], at_c[enough], exact[enough]
+                    order = np.lexsort((c_ids[at_c], -exact, at_q))
+                    at_q, at_c, exact = at_q[order], at_c[order], exact[order]
+                    first = np.searchsorted(at_q, at_q)
+                    top = np.arange(len(at_q)) - first < k
+                    yield pd.DataFrame({"query_id": q_ids[at_q[top]], "vec_id": c_ids[at_c[top]], "score": exact[top]})
 
     found = blocked.join(places, "dim").join(cs, ["dim", "c"]).mapInPandas(resolve, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
