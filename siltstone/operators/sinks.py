@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -61,6 +62,48 @@ def named(rows: DataFrame, names: dict[str, str]) -> DataFrame:
     return rows.select(*[(F.col(f"`{have[h.lower()]}`") if h.lower() in have else F.lit(None).cast("string")).alias(c) for h, c in names.items()])
 
 
+def route(key: Column, city: Column, status: Column, cities: list, dismissed: list) -> Column:
+    """Where a workbook's row goes: blank (no key), other_city, dismissed or project."""
+    return F.when(key.isNull(), "blank").when(~F.coalesce(city.isin(cities), F.lit(False)), "other_city").when(status.isin(dismissed), "dismissed").otherwise("project")
+
+
+def load_upload(rows: DataFrame, key: str, target: str, runs: str, source: str) -> DataFrame:
+    """Append the rows of new keys to `target` and one row on the run to `runs`, both Parquet folders; gives that row.
+
+    Rows without a key are counted and left out; of equal keys one is written, and keys that
+    `target` has already are skipped, so a load may be repeated.
+    """
+    spark = rows.sparkSession
+    counts = rows.agg(F.count(F.lit(1)).alias("rows_read"), F.count_if(F.col(key).isNull()).alias("rows_without_key")).first()
+    fresh = rows.filter(F.col(key).isNotNull()).dropDuplicates([key])
+    before = _stored(spark, target)
+    if before is not None:
+        fresh = fresh.join(before.select(key), key, "left_anti").select(*rows.columns)
+    known = before.count() if before is not None else 0
+    fresh.write.mode("append").parquet(target)
+    written = spark.read.parquet(target).count() - known
+    run = spark.createDataFrame([(source, counts.rows_read, counts.rows_without_key, written)], "source string, rows_read long, rows_without_key long, rows_written long")
+    run = run.withColumn("finished_at", F.current_timestamp())
+    run.write.mode("append").parquet(runs)
+    return run
+
+
+def _stored(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The rows of a Parquet folder, or None where there is no such folder yet."""
+    try:
+        return spark.read.parquet(folder)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def export_csv(rows: DataFrame, folder: str) -> None:
+    """Rows as CSV files with a header, lists, maps and structs as JSON text; the folder is replaced."""
+    flat = [F.to_json(F.col(f"`{f.name}`")).alias(f.name) if f.dataType.typeName() in ("array", "map", "struct") else F.col(f"`{f.name}`") for f in rows.schema.fields]
+    rows.select(*flat).write.mode("overwrite").option("escape", '"').csv(folder, header=True)
+
+
 def incremental_cursor(loads: DataFrame, overlap_hours: int) -> DataFrame:
     """Per source the newest update less the overlap, and the mode that follows: full without a cursor."""
     last = loads.groupBy("source_id").agg(F.max("updated_at").alias("m"))

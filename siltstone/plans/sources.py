@@ -67,7 +67,8 @@ def cross_file_first_seen(spark, sf_dir):
 def workbook_routing(spark, sf_dir):
     """Where a workbook's rows go: dropped without an id or of other cities, dismissed records, projects."""
     (project,) = views(spark, sf_dir, "project")
-    route = F.when(F.col("project_id") % 13 == 0, "blank").when(~F.col("jurisdiction_id").isin(1, 2, 3, 4, 5, 6), "other_city").when(F.col("status_rank") == 6, "dismissed").otherwise("project")
+    key = F.when(F.col("project_id") % 13 != 0, F.col("project_id"))
+    route = op.route(key, F.col("jurisdiction_id"), F.col("status_rank"), [1, 2, 3, 4, 5, 6], [6])
     return project.groupBy(route.alias("route")).agg(F.count(F.lit(1)).alias("n"))
 
 
