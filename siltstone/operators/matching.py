@@ -70,23 +70,32 @@ def within_radius(left: DataFrame, right: DataFrame, meters: float) -> DataFrame
     return pairs.filter(F.col("meters") <= meters).drop("_y", "_x", "_lat", "_lng")
 
 
-def similar_text(subjects: DataFrame, projects: DataFrame, subject: str, project: str, column: str, block: list[str], least: float = 0.12) -> DataFrame:
-    """(subject, project, similarity): trigram Jaccard of a column, at least `least`, within a block."""
-    grams = lambda df, key: df.select(key, *block, text.trigrams(F.col(column)).alias("_g")).withColumn("_n", F.size("_g")).withColumn("_g", F.explode("_g"))
-    a, b = grams(subjects, subject).withColumnRenamed("_n", "_na"), grams(projects, project).withColumnRenamed("_n", "_nb")
-    shared = a.join(b, [*block, "_g"]).groupBy(subject, project, "_na", "_nb").agg(F.count(F.lit(1)).alias("_s"))
-    return shared.select(subject, project, (F.col("_s") / (F.col("_na") + F.col("_nb") - F.col("_s"))).alias("similarity")).filter(F.col("similarity") >= least)
-
-
-def top_similar(subjects: DataFrame, projects: DataFrame, subject: str, project: str, columns: list[str], block: list[str], most: int = 75) -> DataFrame:
-    """Per subject, the projects of greatest summed similarity over several columns."""
-    parts = None
-    for c in columns:
-        found = similar_text(subjects, projects, subject, project, c, block)
-        parts = found if parts is None else parts.unionByName(found)
-    total = parts.groupBy(subject, project).agg(F.sum("similarity").alias("total")).filter(F.col(subject) != F.col(project))
+def top_similar(subjects: DataFrame, projects: DataFrame, subject: str, project: str, columns: list[str], block: list[str], most: int = 75, least: float = 0.12, most_grams: int = 500_000) -> DataFrame:
+    """Per subject, the projects of its block of greatest summed similarity: the trigram Jaccard of each column, where it is at least `least`.
+
+    All columns' shared trigrams are counted in one pass. Subjects of up to `most_grams`
+    trigrams in all are broadcast, so that projects stay where they are and only a row for
+    each pair is shuffled; more of them meet the projects by block and trigram.
+    """
+    places = range(len(columns))
+
+    def grams(rows: DataFrame, key: str, side: str) -> DataFrame:
+        sets = [F.coalesce(text.trigrams(F.col(c)), F.array().cast("array<string>")) for c in columns]
+        rows = rows.select(key, *block, *[s.alias(f"_g{i}") for i, s in enumerate(sets)])
+        tagged = [F.arrays_zip(F.array_repeat(F.lit(i), F.size(f"_g{i}")).alias("_c"), F.col(f"_g{i}").alias("_g")) for i in places]
+        return rows.select(key, *block, *[F.size(f"_g{i}").alias(f"{side}{i}") for i in places], F.inline(F.concat(*tagged)).alias("_c", "_g"))
+
+    a, b = grams(subjects, subject, "_a"), grams(projects, project, "_b")
+    if a.count() <= most_grams:
+        a = F.broadcast(a)
+    sizes = [f"{side}{i}" for side in ("_a", "_b") for i in places]
+    shared = a.join(b, [*block, "_c", "_g"]).filter(F.col(subject) != F.col(project)).groupBy(subject, project, *sizes).agg(*[F.count_if(F.col("_c") == i).alias(f"_s{i}") for i in places])
+    similar = [F.try_divide(F.col(f"_s{i}").cast("double"), F.col(f"_a{i}") + F.col(f"_b{i}") - F.col(f"_s{i}")) for i in places]
+    total = sum((F.when(x >= least, x).otherwise(0.0) for x in similar), F.lit(0.0))
+    # a column counts from `least` up, so a total of nothing is no similarity
+    scored = shared.select(subject, project, total.alias("total")).filter("total > 0")
     rank = F.row_number().over(Window.partitionBy(subject).orderBy(F.desc(F.round("total", 9)), project))
-    return total.withColumn("_r", rank).filter(F.col("_r") <= most).drop("_r")
+    return scored.withColumn("_r", rank).filter(F.col("_r") <= most).drop("_r")
 
 
 def shared_tokens(a: Column, b: Column) -> Column:
