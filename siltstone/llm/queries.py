@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.batches import bounded_batches
 from siltstone.llm.decontaminate import CONTAMINATION_ORACLE, find_contamination
+from siltstone.llm.fim import FIM_ORACLE, fill_in_middle, restore
 from siltstone.llm.jaccard import jaccard_classes
 from siltstone.llm.language import fit_language, identify_language
 from siltstone.llm.licenses import license_oracle, scan_licenses
 from siltstone.llm.lm import LmParams, score, train
 from siltstone.llm.packing import pack
+from siltstone.llm.runs import digests, find_runs, planted
 from siltstone.llm.secrets import scan_secrets
 from siltstone.llm.substrings import SUBSTRING_ORACLE, mark_repeats
 from siltstone.llm.topk import TOP_K_ORACLE, quantised, top_k
@@ -74,6 +76,16 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return digests(find_runs(docs.select("doc_id", planted(F.col("text"), F.col("doc_id")).alias("text"))))
+
+
 def _bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +107,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_secret_scan": op9_secret_scan,
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+        "op11_fill_in_middle": op11_fill_in_middle,
+        "op13_periodic_runs": op13_periodic_runs,
     }
     return {name: _bounded(query) for name, query in found.items()}
 
@@ -105,4 +119,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_decontamination": CONTAMINATION_ORACLE,
         "op7_substring_dedup": SUBSTRING_ORACLE,
         "op3_license_scan": license_oracle(),
+        "op11_fill_in_middle": FIM_ORACLE,
     }
