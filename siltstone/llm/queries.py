@@ -16,6 +16,7 @@ from siltstone.llm.language import fit_language, identify_language
 from siltstone.llm.licenses import license_oracle, scan_licenses
 from siltstone.llm.lm import LmParams, score, train
 from siltstone.llm.packing import pack
+from siltstone.llm.quality import fit_quality, score_quality
 from siltstone.llm.runs import digests, find_runs, planted
 from siltstone.llm.secrets import scan_secrets
 from siltstone.llm.substrings import SUBSTRING_ORACLE, mark_repeats
@@ -81,6 +82,11 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return digests(find_runs(docs.select("doc_id", planted(F.col("text"), F.col("doc_id")).alias("text"))))
@@ -108,6 +114,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_secret_scan": op9_secret_scan,
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
         "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_quality_classifier": op12_quality_classifier,
         "op13_periodic_runs": op13_periodic_runs,
     }
     return {name: _bounded(query) for name, query in found.items()}
