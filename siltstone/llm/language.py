@@ -11,7 +11,8 @@ Clusters are fitted on a bounded sample of each language: its `per_language` tra
 whose hashes are least. Every language is learned, however many there are. A language's
 sample is clustered in one task, and the driver sees centroids only, `block_languages` of
 them at a time: documents are compared with one such block after the other, and keep the
-best centroid so far.
+best centroid so far. Components are rounded to 2^-20, so that cosines are sums of whole
+numbers below 2^53 and exact: they do not depend on what is multiplied together.
 
 Defined results: a null text, or one without a letter, is `und` with score 0 and rejected;
 so is every text if there is nothing to learn from. Rows with null language or id are not
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.chargrams import buckets, codes, letter_table, row_slices, text_list
-from siltstone.llm.toxicity import held_out
+from siltstone.llm.labelled import held_out
 from siltstone.session import ensure_checkpoint_dir
 
 UNDETERMINED = "und"
@@ -82,7 +83,7 @@ class Block:
         cosine, rejected = cosine.copy(), rejected.copy()
         for low, high in row_slices(texts, 1 << 20, 256):
             tf, letters = frequencies(texts[low:high], self.params)
-            near = unit(tf * self.idf) @ self.centroids.T
+            near = whole(unit(tf * self.idf)) @ whole(self.centroids).T / (_WHOLE * _WHOLE)
             best = near.argmax(1)
             near = near[np.arange(high - low), best]
             for i in np.flatnonzero(letters & (near > cosine[low:high])).tolist():
@@ -112,6 +113,14 @@ def frequencies(texts: list[str | None], params: LanguageParams) -> tuple[np.nda
     return counts.reshape(len(texts), size).astype(np.float32), letters
 
 
+_WHOLE = 2.0**20
+
+
+def whole(x: np.ndarray) -> np.ndarray:
+    """Components in whole multiples of 2^-20; products of such rows of length 1 are exact."""
+    return np.rint(x.astype(np.float64) * _WHOLE)
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     length = np.sqrt((x * x).sum(1, keepdims=True))
     return x / np.where(length == 0, 1, length)

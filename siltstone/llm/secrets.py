@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 from math import log2
 
 import pyarrow as pa
@@ -35,6 +37,7 @@ ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64", "entropy_lower", "entropy_upper", "entropy_mixed")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/=_-]{20,}")
+BORDER = re.compile("[/=_-]")
 
 #: Strings that look random and are none.
 ALLOWED = re.compile(
@@ -117,16 +120,29 @@ def entropy_spans(candidate: str, cls: CharClass) -> Iterator[tuple[int, int]]:
 
 def unlisted(run: str, allowed: re.Pattern) -> Iterator[tuple[int, str]]:
     """What is left of a candidate, with its place, without the segments that allow-listed strings touch."""
-    at = 0
+    at, borders = 0, [-1, *(m.start() for m in BORDER.finditer(run)), len(run)]
     for m in allowed.finditer(run):
-        a = max(run.rfind(c, 0, m.start()) for c in "/=_-") + 1
-        b = min((i for c in "/=_-" if (i := run.find(c, m.end())) >= 0), default=len(run))
+        a = borders[bisect_left(borders, m.start()) - 1] + 1
+        b = borders[bisect_left(borders, m.end())]
         if a > at:
             yield at, run[at:a]
         at = max(at, b)
     yield at, run[at:]
 
 
+class Cover:
+    """Whether one of some spans covers another: by starts in order, with the greatest end so far."""
+
+    def __init__(self, spans: list[tuple[int, int, str]]):
+        ordered = sorted(spans)
+        self.starts = [s[0] for s in ordered]
+        self.ends = list(accumulate((s[1] for s in ordered), max))
+
+    def holds(self, a: int, b: int) -> bool:
+        i = bisect_right(self.starts, a)
+        return i > 0 and self.ends[i - 1] >= b
+
+
 def find_spans(text: str | None, classes: tuple[CharClass, ...] = CLASSES, allowed: re.Pattern = ALLOWED) -> list[tuple[int, int, str]]:
     """All spans by start, then kind as listed in KINDS; ends are exclusive, positions are code points.
 
@@ -136,16 +152,17 @@ def find_spans(text: str | None, classes: tuple[CharClass, ...] = CLASSES, allow
     if not text:
         return []
     found = base_spans(text)
-    base = list(found)
+    base = Cover(found)
     for m in CANDIDATE.finditer(text):
         for at, piece in unlisted(m[0], allowed):
             if len(piece) < 20 or piece.isdigit():
                 continue
             own: list[tuple[int, int, str]] = []
             for cls in classes:
+                before = Cover(own if cls.kind in WITHIN else [])
                 for a, b in entropy_spans(piece, cls):
                     a, b = a + at + m.start(), b + at + m.start()
-                    if not any(x <= a and b <= y for x, y, _ in (base + own if cls.kind in WITHIN else base)):
+                    if not base.holds(a, b) and not before.holds(a, b):
                         own.append((a, b, cls.kind))
             found += own
     order = {k: i for i, k in enumerate(KINDS)}

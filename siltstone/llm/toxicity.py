@@ -6,9 +6,12 @@ r = log((p/|p|) / (q/|q|)) of smoothed document counts in toxic and clean labell
 and a logistic regression is fitted on the scaled features.
 
 The classifier is fitted on a bounded sample of labelled rows: the `per_class` ids of each
-class that come first in the order of a hash, and of their different texts as many. The
-driver gets counts by bucket, chooses the `features` buckets that tell the classes apart
-best, and then gets the sampled rows' numbers of those alone. All else covers every row.
+class that come first in the order of a hash, and of their different texts as many. All
+buckets whose rates in the two classes differ at the significance `level` (two proportions,
+two-sided) have a weight, however many they are. Decay and steps are those of `decays` and
+`steps` with the least loss on a quarter of the sampled rows, by hash, for which neither
+buckets nor weights were fitted; the classifier is then fitted with them on all sampled
+rows. The driver gets counts by bucket, and the sampled rows' numbers of those buckets.
 
 Defined results: a null or empty text has no features and scores the classifier's base
 rate; a label that is null, or neither 0 nor 1, or whose id is null, is not learned from;
@@ -19,27 +22,30 @@ other columns are not read, and an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.chargrams import buckets, codes, row_slices, text_list
+from siltstone.llm.labelled import held_out, labelled_sample
 from siltstone.session import ensure_checkpoint_dir
 
 
 @dataclass(frozen=True)
 class ToxicityParams:
-    """per_class bounds the labelled rows learned from; features bounds what the classifier keeps."""
+    """per_class bounds the labelled rows learned from; level is the significance of a bucket that has a weight; decays and steps are tried on a split."""
 
-    sizes: tuple[int, ...] = (4, 5)
+    sizes: tuple[int, ...] = (4, 5, 6)
     bits: int = 20
     per_class: int = 2000
-    features: int = 2048
-    steps: int = 300
-    decay: float = 1e-4
+    level: float = 1e-4
+    decays: tuple[float, ...] = (1e-4, 1e-3, 1e-2)
+    steps: tuple[int, ...] = (100, 200, 300, 600)
     fold: int = 5
 
 
@@ -79,48 +85,40 @@ def present(texts: list[str | None], sizes: tuple[int, ...], bits: int, kept: np
     return pairs >> bits, pairs & ((1 << bits) - 1)
 
 
-def held_out(id_col: str, fold: int) -> Column:
-    return (F.crc32(F.col(id_col).cast("string")) % fold) == 0
-
-
 def fit_toxicity(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Fit on the sampled labelled rows that are not held out; executors count their features and then give those kept."""
     ensure_checkpoint_dir(docs.sparkSession)
-    usable = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y")).filter(F.col("_y").isin(0, 1) & F.col("_id").isNotNull() & ~held_out("_id", params.fold))
-    marked = usable.groupBy("_id").agg(F.max("_y").cast("int").alias("_y")).withColumn("_h", F.xxhash64("_id"))
-    sampled = [marked.filter(F.col("_y") == y).orderBy("_h", "_id").limit(params.per_class) for y in (0, 1)]
-    picked = F.broadcast(sampled[0].union(sampled[1]).select("_id", "_y"))  # 2 * per_class rows at most
-    # rows of one id and text are one; of an id with many texts, no more than the bound are learned from
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(picked, "_id").withColumn("_h", F.xxhash64("_id", "_t"))
-    rows = rows.groupBy("_id", "_h").agg(F.max("_y").alias("_y"), F.max("_t").alias("_t"))
-    bounded = [rows.filter(F.col("_y") == y).orderBy("_h", "_id").limit(params.per_class) for y in (0, 1)]
-    learned = bounded[0].union(bounded[1]).select("_y", "_t", "_h").repartition(16, "_h").checkpoint()
+    sample = labelled_sample(docs, labels, params.per_class, params.fold, id_col, text_col, label_col)
+    # the class, and 2 more for the quarter of the rows that parameters are tried on
+    part = F.col("_y") + F.when(F.pmod("_h", F.lit(4)) == 0, 2).otherwise(0)
+    learned = sample.select(part.alias("_y"), "_t", "_h").repartition(16, "_h").checkpoint()
     size, sizes, bits = 1 << params.bits, params.sizes, params.bits
 
     def count(batches):
-        found, rows = np.zeros((2, size), np.int64), np.zeros(2, np.int64)
+        found, rows = np.zeros((4, size), np.int64), np.zeros(4, np.int64)
         for batch in batches:
             y, texts = batch.column(0).to_numpy(), text_list(batch.column(1))
-            rows += np.bincount(y, minlength=2)
+            rows += np.bincount(y, minlength=4)
             for low, high in row_slices(texts, 1 << 18):
                 at, bucket = present(texts[low:high], sizes, bits)
-                for label in (0, 1):
-                    found[label] += np.bincount(bucket[y[low:high][at] == label], minlength=size)
+                for part in range(4):
+                    found[part] += np.bincount(bucket[y[low:high][at] == part], minlength=size)
         held = np.flatnonzero(found.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(held, -1)), *(pa.array(np.append(f[held], n)) for f, n in zip(found, rows, strict=True))], ["bucket", "clean", "toxic"])
-
-    counted = learned.mapInArrow(count, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
-    bucket, q, p = (counted.column(c).to_numpy() for c in ("bucket", "clean", "toxic"))
-    n_q, n_p = int(q[bucket < 0].sum()), int(p[bucket < 0].sum())
-    kept, ratio = np.zeros(size, bool), np.zeros(size)
-    if n_p and n_q:
-        both = np.zeros((2, size))
-        both[:, bucket[bucket >= 0]] = np.stack([q, p])[:, bucket >= 0]
-        kept, ratio = _chosen(both[0], both[1], n_q, n_p, params.features)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(held, -1)), *(pa.array(np.append(f[held], n)) for f, n in zip(found, rows, strict=True))], ["bucket", *names])
+
+    names = [f"n{i}" for i in range(4)]
+    counted = learned.mapInArrow(count, "bucket long, " + ", ".join(f"{c} long" for c in names)).groupBy("bucket").agg(*(F.sum(c).alias(c) for c in names)).toArrow()
+    bucket, by_part = counted.column("bucket").to_numpy(), np.stack([counted.column(c).to_numpy() for c in names])
+    rows = by_part[:, bucket < 0].sum(1)
+    counts = np.zeros((4, size))
+    counts[:, bucket[bucket >= 0]] = by_part[:, bucket >= 0]
+    n_q, n_p = int(rows[0] + rows[2]), int(rows[1] + rows[3])
+    kept, ratio = _chosen(counts[0] + counts[2], counts[1] + counts[3], n_q, n_p, params.level)
     if not kept.any():
         base = (30.0 if n_p else -30.0) if 0 in (n_p, n_q) else float(np.log(n_p / n_q))
         return ToxicityModel(kept, np.zeros(size, np.float32), base, sizes, bits)
-    chosen = np.flatnonzero(kept)
+    tried, tried_ratio = _chosen(counts[0], counts[1], int(rows[0]), int(rows[1]), params.level)
+    chosen = np.flatnonzero(kept | tried)
 
     def features(batches):
         kept = np.zeros(size, bool)
@@ -134,41 +132,67 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, params: ToxicityParams = To
                 lists += np.split(column[found], np.searchsorted(at, np.arange(1, high - low)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(lists, pa.list_(pa.int32()))], ["y", "h", "f"])
 
-    local = learned.mapInArrow(features, "y int, h long, f array<int>").toArrow().combine_chunks().sort_by("h").combine_chunks()  # `features` numbers a row at most
-    lists = local.column("f").chunk(0)
-    w, b = _fitted(lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()), local.column("y").to_numpy().astype(np.int64), ratio[kept], params)
-    weights = np.zeros(size, np.float32)
-    weights[kept] = ratio[kept] * w
-    return ToxicityModel(kept, weights, b, sizes, bits)
+    local = learned.mapInArrow(features, "y int, h long, f array<int>").toArrow().combine_chunks().sort_by("h").combine_chunks()  # of the sampled rows only
+    lists, part = local.column("f").chunk(0), local.column("y").to_numpy().astype(np.int64)
+    held = Features(chosen[lists.flatten().to_numpy()], np.diff(lists.offsets.to_numpy()), part % 2)
+    fit, test = held.of(part < 2, tried), held.of(part >= 2, tried)
+    decay, steps = params.decays[0], params.steps[-1]
+    if tried.any() and len(np.unique(test.y)) == 2:
+        trials = [(test.loss(tried_ratio * w, b), -decay, steps) for decay in params.decays for steps, w, b in _fitted(fit, tried_ratio, decay, params.steps)]
+        _, decay, steps = min(trials)
+        decay = -decay
+    *_, (_, w, b) = _fitted(held.of(part >= 0, kept), ratio, decay, (steps,))
+    return ToxicityModel(kept, np.where(kept, ratio * w, 0).astype(np.float32), b, sizes, bits)
+
+
+@dataclass
+class Features:
+    """The buckets of all rows, one row after the other; how many each row has; the rows' classes."""
+
+    bucket: np.ndarray
+    sizes: np.ndarray
+    y: np.ndarray
+
+    def __post_init__(self):
+        self.at = np.repeat(np.arange(len(self.y)), self.sizes)
+        self.per = 0.5 / np.maximum(np.bincount(self.y, minlength=2), 1)[self.y]  # both classes weigh the same, whatever was sampled
+
+    def of(self, rows: np.ndarray, kept: np.ndarray) -> Features:
+        """Some rows with some buckets."""
+        here = rows[self.at] & kept[self.bucket]
+        return Features(self.bucket[here], np.bincount(self.at[here], minlength=len(rows))[rows], self.y[rows])
+
+    def loss(self, weights: np.ndarray, bias: float) -> float:
+        s = bias + np.bincount(self.at, weights[self.bucket], len(self.y))
+        return float((np.logaddexp(0, np.where(self.y == 1, -s, s)) * self.per).sum())
 
 
-def _chosen(q: np.ndarray, p: np.ndarray, n_q: int, n_p: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which buckets tell the classes apart best, and the log-count ratio of each bucket."""
+def _chosen(q: np.ndarray, p: np.ndarray, n_q: int, n_p: int, level: float) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets whose rates differ at the level (none without both classes), and the log-count ratio of each bucket."""
+    if not n_q or not n_p:
+        return np.zeros(len(p), bool), np.zeros(len(p))
     rate = (p + q + 1) / (n_p + n_q + 2)
     z = np.abs(p / n_p - q / n_q) / np.sqrt(rate * (1 - rate) * (1 / n_p + 1 / n_q))
-    z[p + q < 2] = 0
-    kept = np.zeros(len(p), bool)
-    best = np.argpartition(-z, min(most, len(p) - 1))[:most]
-    kept[best[z[best] > 0]] = True
-    return kept, np.log(((p + 1) / (p + 1).sum()) / ((q + 1) / (q + 1).sum()))
+    return (z >= NormalDist().inv_cdf(1 - level / 2)) & (p + q > 1), np.log(((p + 1) / (p + 1).sum()) / ((q + 1) / (q + 1).sum()))
 
 
-def _fitted(col: np.ndarray, sizes: np.ndarray, y: np.ndarray, ratio: np.ndarray, params: ToxicityParams) -> tuple[np.ndarray, float]:
-    """Logistic regression on scaled features. col: the features of all rows, one row after the other; sizes: how many each has."""
-    at, k = np.repeat(np.arange(len(y)), sizes), len(ratio)
-    value = ratio[col]
+def _fitted(rows: Features, ratio: np.ndarray, decay: float, steps: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray, float]]:
+    """Logistic regression on features scaled by their ratios: the number of steps, weights by bucket, and bias after each of `steps`."""
+    buckets_, col = np.unique(rows.bucket, return_inverse=True)
+    value, k = ratio[rows.bucket], len(buckets_)
     w, b = np.zeros(k), 0.0
     m = [np.zeros(k + 1), np.zeros(k + 1)]
-    n_p = int(y.sum())
-    per = np.where(y == 1, 0.5 / n_p, 0.5 / (len(y) - n_p))  # both classes weigh the same, whatever was sampled
-    for t in range(1, params.steps + 1):
-        s = b + np.bincount(at, value * w[col], len(y))
-        g = (1 / (1 + np.exp(-np.clip(s, -500, 500))) - y) * per
-        grad = np.append(np.bincount(col, value * g[at], k) + params.decay * w, g.sum())
+    for t in range(1, max(steps) + 1):
+        s = b + np.bincount(rows.at, value * w[col], len(rows.y))
+        g = (1 / (1 + np.exp(-np.clip(s, -500, 500))) - rows.y) * rows.per
+        grad = np.append(np.bincount(col, value * g[rows.at], k) + decay * w, g.sum())
         m = [0.9 * m[0] + 0.1 * grad, 0.99 * m[1] + 0.01 * grad * grad]
         step = 0.05 * (m[0] / (1 - 0.9**t)) / (np.sqrt(m[1] / (1 - 0.99**t)) + 1e-9)
         w, b = w - step[:k], b - step[k]
-    return w, float(b)
+        if t in steps:
+            whole = np.zeros(len(ratio))
+            whole[buckets_] = w
+            yield t, whole, float(b)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", fold: int = 5) -> DataFrame:

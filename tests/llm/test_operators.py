@@ -2,10 +2,11 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from dataclasses import fields, replace
-from math import log10
+from math import log2, log10
 from random import Random
 
 import duckdb
@@ -22,7 +23,7 @@ from siltstone.llm.language import LanguageParams, fit_language, frequencies, id
 from siltstone.llm.licenses import TEMPLATES, scan_licenses
 from siltstone.llm.lm import LmParams, score, train
 from siltstone.llm.packing import pack
-from siltstone.llm.secrets import find_spans, redact_secrets, scan_secrets
+from siltstone.llm.secrets import ALLOWED, CLASSES, KINDS, WITHIN, find_spans, redact_secrets, scan_secrets
 from siltstone.llm.substrings import SubstringParams, mark_repeats
 from siltstone.llm.toxicity import ToxicityParams, fit_toxicity, keep_clean, present, score_toxicity
 
@@ -128,9 +129,9 @@ def test_toxicity(spark, docs):
 
 
 def test_toxicity_against_plain_fit(spark, docs):
-    """The features kept are those of a plain count over the learned texts; repeated rows change nothing."""
+    """The buckets with a weight are those of a plain count and test over the learned texts; repeated rows change nothing."""
     labels = spark.read.parquet(f"{SF}/labels.parquet")
-    params = ToxicityParams(per_class=50, features=200)
+    params = ToxicityParams(per_class=50, level=0.01)
     model, twice = fit_toxicity(docs, labels, params), fit_toxicity(docs.unionAll(docs).unionAll(docs), labels, params)
     assert (model.kept == twice.kept).all() and np.allclose(model.weights, twice.weights, atol=1e-5)
     y = {r.doc_id: r.toxic for r in labels.filter("toxic IS NOT NULL").collect() if crc(r.doc_id) % 5}
@@ -148,9 +149,16 @@ def test_toxicity_against_plain_fit(spark, docs):
         rate = (p + q + 1) / (sum(n) + 2)
         return abs(p / n[1] - q / n[0]) / (rate * (1 - rate) * (1 / n[0] + 1 / n[1])) ** 0.5 if p + q > 1 else 0
 
-    all_z = {b: z(b) for b in count[0] | count[1]}
-    least = min(all_z[b] for b in np.flatnonzero(model.kept).tolist())
-    assert model.kept.sum() == 200 and sum(v > least + 1e-9 for v in all_z.values()) <= 200
+    want = {b for b in count[0] | count[1] if z(b) >= 2.5758293035489}  # 1 % of a normal variable lie outside
+    assert set(np.flatnonzero(model.kept).tolist()) == want and len(want) > 20
+
+
+def test_toxicity_tries_parameters_apart(spark, docs):
+    """The loss of the tried rows decides: with one value of each parameter, that one is taken, with several, one of them."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    one = [fit_toxicity(docs, labels, ToxicityParams(decays=(d,), steps=(s,))) for d in (1e-3, 1e-1) for s in (50, 200)]
+    both = fit_toxicity(docs, labels, ToxicityParams(decays=(1e-3, 1e-1), steps=(50, 200)))
+    assert sum(np.allclose(both.weights, m.weights, atol=1e-6) for m in one) == 1
 
 
 def test_language(spark, docs):
@@ -285,6 +293,72 @@ def test_secret_character_classes(key):
     assert find_spans(f"example{key}") == []
 
 
+def plain_entropy_spans(text):
+    """All spans by the definition: every window counted anew, every span compared with every other."""
+    found = [(m.start(), m.end(), kind) for kind, p, least, g in BASE for m in p.finditer(text) if len(m[g]) >= least]
+    base = list(found)
+    for m in re.finditer(r"[A-Za-z0-9+/=_-]{20,}", text):
+        gone = [False] * len(m[0])
+        for x in ALLOWED.finditer(m[0]):
+            a, b = x.span()
+            while a > 0 and m[0][a - 1] not in "/=_-":
+                a -= 1
+            while b < len(m[0]) and m[0][b] not in "/=_-":
+                b += 1
+            gone[a:b] = [True] * (b - a)
+        edges = [i for i in range(len(gone) + 1) if i in (0, len(gone)) or gone[i] != gone[i - 1]]
+        for a, b in zip(edges, edges[1:]):
+            piece = m[0][a:b]
+            if gone[a] or len(piece) < 20 or piece.isdigit():
+                continue
+            own = []
+            for cls in CLASSES:
+                hit = [False] * len(piece)
+                for i in range(len(piece) - cls.window + 1):
+                    w = piece[i : i + cls.window]
+                    if set(w) <= set(cls.characters) and all(set(w) & set(n) for n in cls.needs):
+                        if -sum(c / len(w) * log2(c / len(w)) for c in Counter(w).values()) >= cls.bits - 1e-9:
+                            hit[i : i + cls.window] = [True] * cls.window
+                starts = [i for i in range(len(hit)) if hit[i] and (i == 0 or not hit[i - 1])]
+                new = []
+                for i in starts:
+                    j = i
+                    while j < len(hit) and hit[j]:
+                        j += 1
+                    span = (m.start() + a + i, m.start() + a + j)
+                    if not any(x <= span[0] and span[1] <= y for x, y, _ in base + (own if cls.kind in WITHIN else [])):
+                        new.append((*span, cls.kind))
+                own += new
+            found += own
+    return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
+
+
+def test_secret_entropy_spans_against_plain_windows(texts):
+    rng = Random(8)
+    pieces = ["", "example", "test_only", "0123456789abcdef", "/", "=", "-", "_", " ", "\n", "password: ", "token=", "é", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "internationalization"]
+    sets = ["0123456789abcdef", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", "abcdefghijklmnopqrstuvwxyz"]
+    made = ["".join(rng.choice(pieces) if rng.random() < 0.4 else "".join(rng.choices(rng.choice(sets), k=rng.randrange(3, 50))) for _ in range(8)) for _ in range(300)]
+    spans = 0
+    for text in made + list(texts.values())[:60]:
+        want = plain_entropy_spans(text)
+        assert find_spans(text) == want, text
+        spans += len(want)
+    assert spans > 500
+
+
+def test_secret_long_texts():
+    """Time grows with the text: four megabytes of keys, and one candidate full of allow-listed words, take seconds."""
+    rng = Random(2)
+    keys = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=40)) for _ in range(25_000))
+    began = time.perf_counter()
+    assert len(find_spans(keys)) > 20_000
+    one = time.perf_counter() - began
+    began = time.perf_counter()
+    find_spans(keys * 4)
+    assert time.perf_counter() - began < 12 * one + 5
+    assert find_spans("example" * 300_000) == []
+
+
 def test_secret_allowed_and_plain():
     for text in ("test_only/example-placeholder=dummy", "123e4567-e89b-12d3-a456-426614174000", "9" * 23, "internationalization", "Donaudampfschifffahrtsgesellschaft", "z" * 30):
         assert find_spans(text) == [], text
