@@ -442,7 +442,7 @@ def test_stages(spark, docs, texts):
     assert corpus_pipeline.hide_secrets(spark, docs, SF).count() == len(texts)
 
 
-@pytest.mark.parametrize("params", [WinnowParams(block_words=300), WinnowParams(block_words=300, filter_prints=50)])
+@pytest.mark.parametrize("params", [WinnowParams(block_words=300), WinnowParams(block_words=300, filter_bits=1 << 10)])
 def test_contamination_in_blocks(spark, docs, params):
     """A benchmark of many blocks gives what one block gives, repeated documents and short items included."""
     items = spark.read.parquet(f"{SF}/benchmark.parquet").select(F.col("item_id").cast("string").alias("item_id"), "text")
