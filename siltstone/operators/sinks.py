@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from siltstone.operators.ledger import Ledger, first_of_key
 
 
 def canonical_hash(json: Column) -> Column:
@@ -67,35 +69,14 @@ def route(key: Column, city: Column, status: Column, cities: list, dismissed: li
     return F.when(key.isNull(), "blank").when(~F.coalesce(city.isin(cities), F.lit(False)), "other_city").when(status.isin(dismissed), "dismissed").otherwise("project")
 
 
-def load_upload(rows: DataFrame, key: str, target: str, runs: str, source: str) -> DataFrame:
-    """Append the rows of new keys to `target` and one row on the run to `runs`, both Parquet folders; gives that row.
+def load_upload(rows: DataFrame, key: str, folder: str, batch: int, source: str) -> Row:
+    """Add the rows of new keys to the ledger in `folder` and give the row on the run.
 
-    Rows without a key are counted and left out; of equal keys one is written, and keys that
-    `target` has already are skipped, so a load may be repeated.
+    Rows without a key are skipped, and so are keys that the ledger has; of equal keys one is
+    written. A load that breaks is repeated under its batch number.
     """
-    spark = rows.sparkSession
-    counts = rows.agg(F.count(F.lit(1)).alias("rows_read"), F.count_if(F.col(key).isNull()).alias("rows_without_key")).first()
-    fresh = rows.filter(F.col(key).isNotNull()).dropDuplicates([key])
-    before = _stored(spark, target)
-    if before is not None:
-        fresh = fresh.join(before.select(key), key, "left_anti").select(*rows.columns)
-    known = before.count() if before is not None else 0
-    fresh.write.mode("append").parquet(target)
-    written = spark.read.parquet(target).count() - known
-    run = spark.createDataFrame([(source, counts.rows_read, counts.rows_without_key, written)], "source string, rows_read long, rows_without_key long, rows_written long")
-    run = run.withColumn("finished_at", F.current_timestamp())
-    run.write.mode("append").parquet(runs)
-    return run
-
-
-def _stored(spark: SparkSession, folder: str) -> DataFrame | None:
-    """The rows of a Parquet folder, or None where there is no such folder yet."""
-    try:
-        return spark.read.parquet(folder)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
+    schema = T.StructType([*rows.schema.fields, T.StructField("action", T.StringType())])
+    return Ledger(rows.sparkSession, folder, schema, (key,)).add(batch, rows, first_of_key((key,), *rows.columns), source)
 
 
 def export_csv(rows: DataFrame, folder: str) -> None:

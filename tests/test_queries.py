@@ -11,8 +11,8 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-#: Queries without SQL; test_brute.py compares them with plain Python.
-BRUTE = {"budget_reserve_fold", "canonicalise_developers", "fuzzy_name_join", "layered_dedup", "layered_dedup_sweep", "project_search", "url_canonical"}
+#: Queries without SQL; test_brute.py and test_streams.py compare them with plain Python or another form.
+BRUTE = {"budget_reserve_fold", "budget_reserve_stream", "canonicalise_developers", "fuzzy_name_join", "layered_dedup", "layered_dedup_sweep", "project_search", "url_canonical"}
 
 
 @pytest.fixture(scope="session")

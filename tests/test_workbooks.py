@@ -52,13 +52,14 @@ def test_missing_sheet(spark, tmp_path):
 def test_uploads(spark, tmp_path):
     write_workbook(tmp_path / "u.xlsx", cells(4, "1", 't="s"><v>3</v>') + cells(5, "2", 't="str"><v>two</v>') + cells(6, "", 't="str"><v>none</v>') + cells(7, "2", 't="str"><v>two</v>'))
     (tmp_path / "u.csv").write_text('Property ID, NAME\n2,two\n3,"three, with\na break"\n')
-    target, runs = str(tmp_path / "rows"), str(tmp_path / "runs")
+    folder = str(tmp_path / "ledger")
     headers = {"Property ID": "id", "Name": "name"}
-    for name in ("u.xlsx", "u.xlsx", "u.csv"):
-        sinks.load_upload(workbooks.upload_rows(spark, str(tmp_path / name), headers, "DataStorage", 3), "id", target, runs, name)
-    assert sorted(map(tuple, spark.read.parquet(target).collect())) == [("1", "Älpha & Co"), ("2", "two"), ("3", "three, with\na break")]
-    done = spark.read.parquet(runs).orderBy("finished_at").select("source", "rows_read", "rows_without_key", "rows_written").collect()
-    assert list(map(tuple, done)) == [("u.xlsx", 4, 1, 2), ("u.xlsx", 4, 1, 0), ("u.csv", 2, 0, 1)]
+    runs = []
+    for batch, name in enumerate(("u.xlsx", "u.xlsx", "u.csv", "u.csv")):
+        rows = workbooks.upload_rows(spark, str(tmp_path / name), headers, "DataStorage", 3)
+        runs.append(sinks.load_upload(rows, "id", folder, min(batch, 2), name))  # the last one is given twice
+    assert [(r.source, r.read, r.written, r.skipped) for r in runs] == [("u.xlsx", 4, 2, 2), ("u.xlsx", 4, 0, 4), ("u.csv", 2, 1, 1), ("u.csv", 2, 1, 1)]
+    assert sorted((r.id, r.name) for r in spark.read.parquet(f"{folder}/rows").collect()) == [("1", "Älpha & Co"), ("2", "two"), ("3", "three, with\na break")]
     with pytest.raises(ValueError, match="csv or xlsx"):
         workbooks.upload_rows(spark, str(tmp_path / "u.txt"), headers)
 
