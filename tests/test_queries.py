@@ -12,7 +12,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 #: Queries without SQL; test_brute.py and test_streams.py compare them with plain Python or another form.
-BRUTE = {"budget_reserve_fold", "budget_reserve_stream", "canonicalise_developers", "fuzzy_name_join", "layered_dedup", "layered_dedup_sweep", "project_search", "url_canonical"}
+BRUTE = {"budget_reserve_fold", "budget_reserve_stream", "canonicalise_developers", "document_dates", "fuzzy_name_join", "layered_dedup", "layered_dedup_sweep", "project_search", "url_canonical"}
 
 
 @pytest.fixture(scope="session")
