@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.sources import adapters, pages
-from siltstone.sources.paged import PagedSource, pull_parameters
+from siltstone.sources.paged import pull_parameters, register
 
 ROWS = [{"id": i, "name": None if i % 7 == 0 else f"n{i}"} for i in range(2345)]
 
@@ -43,7 +43,7 @@ def service():
 
 def test_paged_pull(spark, service):
     url, asked = service
-    spark.dataSource.register(PagedSource)
+    register(spark)
     parameters = pull_parameters(["name"], "name <> 'x'", ":updated_at", "incremental", "2024-01-01")
     pull = spark.read.format("paged_json").schema("id string, name string").option("url", url).option("pageSize", 300).option("rangeRecords", 900).option("pause", 0.01)
     got = pull.option("maxRecords", 4000).option("parameters", json.dumps(parameters)).load()
