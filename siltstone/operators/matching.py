@@ -20,7 +20,12 @@ METERS_PER_DEGREE = 111_194.9
 
 def by_identifier(records: DataFrame, owned: DataFrame, record: str, keys: list[str], owner: str, single: float = 0.97, several: float = 0.70) -> DataFrame:
     """Per record with a hit: owner (the least of them), how many, the confidence and whether it is only possible."""
-    hits = records.join(owned, keys).groupBy(record).agg(F.min(owner).alias("owner"), F.countDistinct(owner).alias("owners"))
+    rows = records.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(record)))
+    # a key's owners are counted before the join, so a record of one key meets one row, however many own it
+    counted = owned.groupBy(*keys).agg(F.min(owner).alias("owner"), F.countDistinct(owner).alias("owners"))
+    one = rows.filter("_n = 1").join(counted.filter("owners > 0"), keys).select(record, "owner", "owners")
+    more = rows.filter("_n > 1").join(owned.filter(F.col(owner).isNotNull()).select(*keys, F.col(owner).alias("_o")).distinct(), keys)
+    hits = one.unionByName(more.groupBy(record).agg(F.min("_o").alias("owner"), F.countDistinct("_o").alias("owners")))
     return hits.withColumn("confidence", F.when(F.col("owners") == 1, single).otherwise(several)).withColumn("possible", F.col("owners") > 1)
 
 
@@ -210,9 +215,14 @@ def nearest_by_cosine(queries: DataFrame, vectors: DataFrame, k: int, id_col: st
                 c, c_ids = c[order], c_ids[order]
                 distance = np.round(1 - (q @ c.T) / (np.sqrt((q * q).sum(1))[:, None] * np.sqrt((c * c).sum(1))[None, :]), 6)
                 distance[q_ids[:, None] == c_ids[None, :]] = np.inf
-                best = np.argsort(distance, axis=1, kind="stable")[:, :k]
-                found = pd.DataFrame({"query_id": np.repeat(q_ids, best.shape[1]), "id": c_ids[best].ravel(), "distance": np.take_along_axis(distance, best, 1).ravel()})
-                yield found[np.isfinite(found["distance"])]
+                # the k-th distance of each query, what is not beyond it, and of these the k first by (distance, id)
+                worst = np.partition(distance, min(k, len(c)) - 1, axis=1)[:, min(k, len(c)) - 1]
+                at, column = np.nonzero((distance <= worst[:, None]) & np.isfinite(distance))
+                near = distance[at, column]
+                order = np.lexsort((column, near, at))
+                place = np.arange(len(at)) - np.searchsorted(at, at)  # rows are in order, so this is the place within the query
+                best = order[place < k]
+                yield pd.DataFrame({"query_id": q_ids[at[best]], "id": c_ids[column[best]], "distance": near[best]})
 
     pairs = blocks(queries, query_block, "q").join(blocks(vectors, vector_block, "c"), "dim").mapInPandas(meet, "query_id long, id long, distance double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))

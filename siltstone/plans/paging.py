@@ -90,10 +90,15 @@ def project_union_with_reasons(spark, sf_dir):
     return rows.groupBy("project_id").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
 
 
-@query("SELECT DISTINCT project_id FROM review_item WHERE project_id NOT IN (SELECT project_id FROM project WHERE project_id IS NOT NULL) OR project_id % 9 = 0 AND project_id NOT IN (SELECT project_id FROM evidence WHERE tier = 1)", "review_item", "project", "evidence")
+@query(
+    """WITH i AS (SELECT DISTINCT CASE WHEN item_id % 13 = 0 THEN project_id + 10000000 ELSE project_id END AS project_id FROM review_item)
+       SELECT project_id FROM i WHERE project_id NOT IN (SELECT project_id FROM project WHERE project_id IS NOT NULL) OR project_id % 9 = 0 AND project_id NOT IN (SELECT project_id FROM evidence WHERE tier = 1)""",
+    "review_item", "project", "evidence",
+)
 def unmatched_ids(spark, sf_dir):
+    """Ids of items that no project has (a vendor numbers some of its own), and those of a kind without official evidence."""
     items, project, evidence = views(spark, sf_dir, "review_item", "project", "evidence")
-    ids = items.select("project_id").distinct()
+    ids = items.select(F.when(F.col("item_id") % 13 == 0, F.col("project_id") + 10_000_000).otherwise(F.col("project_id")).alias("project_id")).distinct()
     unknown = ids.join(project.select("project_id"), "project_id", "left_anti")
     return unknown.union(ids.filter("project_id % 9 = 0").join(evidence.filter("tier = 1").select("project_id"), "project_id", "left_anti")).distinct()
 

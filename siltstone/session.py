@@ -17,6 +17,7 @@ def local_session(app: str = "siltstone", cpus: str | None = None) -> SparkSessi
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("SILTSTONE_DRIVER_MEMORY", "6g"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
