@@ -123,6 +123,98 @@ def address_parts(c: Column, city: Column | None = None, state: Column | None =
     return F.struct(street.alias("street"), unit.alias("unit"), city_out.alias("city"), state_out.alias("state"), zip_out.alias("zip"), canonical.alias("canonical"))
 
 
+#: What the token walk has read: phase 0 wants a house number, 1 a name up to its suffix, 2 what follows, 3 comes after a state, 4 after a ZIP, 5 wants a unit's number, 9 is no address.
+_WALK = "struct<phase:int,house:string,direction:string,name:array<string>,suffix:string,last:string,post:string,unit:string,city:array<string>,state:string,zip:string>"
+
+
+def walked_address(c: Column) -> Column:
+    """What a walk over an address's words finds, without regard to commas; see `_WALK`.
+
+    A direction counts right before or after the name, as the first or second word behind the
+    number; a suffix ends the name, and one that another follows belongs to it.
+    """
+    tokens = F.filter(F.split(F.regexp_replace(F.upper(c), r"[^A-Z0-9#-]+", " "), " "), lambda t: t != "")
+    words = F.array(*[F.lit(w) for w in fixed.UNIT_WORDS.split("|")])
+    tags = F.transform(tokens, lambda t: F.struct(
+        t.alias("t"), street_token(t).alias("plain"), mapped(t, fixed.SUFFIXES).alias("suffix"), mapped(t, fixed.DIRECTIONS).alias("direction"), t.rlike(r"^\d+[A-Z]?(-\d+)?$").alias("house"),
+        t.rlike(r"^\d{5}(-\d{4})?$").alias("zip"), t.isin(*fixed.STATES.values()).alias("state"), (F.array_contains(words, t) | t.rlike("^#.")).alias("unit"), t.rlike("^#.").alias("whole"),
+    ))
+
+    def step(s: Column, x: Column) -> Column:
+        phase, empty, t = s["phase"], F.array().cast("array<string>"), x["t"]
+        suffix, direction = x["suffix"], x["direction"]
+        is_zip, is_state, is_unit = x["zip"], x["state"], x["unit"]
+        begins = (phase == 0) & x["house"]
+        naming, behind, stated = phase == 1, phase == 2, phase == 3
+        named = F.size(s["name"]) > 0
+        turned = naming & direction.isNotNull() & ~named & s["direction"].isNull()
+        ends = naming & ~turned & suffix.isNotNull() & (named | s["direction"].isNotNull())
+        open_ = behind & (F.size(s["city"]) == 0) & s["unit"].isNull()
+        again = open_ & suffix.isNotNull() & s["post"].isNull()
+        after = open_ & direction.isNotNull() & s["post"].isNull() & suffix.isNull()
+        coded, stating, united = (behind | stated) & is_zip, (behind | stated) & is_state & ~is_zip & ~after, behind & is_unit & ~again
+        placed = (behind | stated) & ~coded & ~stating & ~united & ~again & ~after
+        grown = lambda x, when, more: F.when(when, F.concat(x, F.array(more))).otherwise(x)
+        alone = ends & ~named  # a direction that no name follows is the name
+        name = F.when(alone, F.array(s["direction"])).when(again, F.concat(s["name"], F.array(s["last"]))).otherwise(grown(s["name"], naming & ~turned & ~ends, x["plain"]))
+        # what looked like a state belongs to the city if neither a ZIP nor the end follows
+        city = grown(grown(s["city"], stated & ~coded, s["state"]), placed, t)
+        phase_out = (
+            F.when(phase == 0, F.when(begins, 1).otherwise(9)).when(ends, 2).when(phase == 5, 2).when(coded, 4).when(stating, 3).when(united & x["whole"], 2).when(united, 5).when(stated, 2).otherwise(phase)
+        )
+        unit = F.when(united, t).when(phase == 5, F.concat_ws(" ", s["unit"], t)).otherwise(s["unit"])
+        return F.struct(
+            phase_out, F.when(begins, t).otherwise(s["house"]), F.when(turned, direction).when(alone, F.lit(None)).otherwise(s["direction"]), F.when(phase == 0, empty).otherwise(name), F.when(ends | again, suffix).otherwise(s["suffix"]),
+            F.when(ends | again, t).otherwise(s["last"]), F.when(after, direction).otherwise(s["post"]), unit, F.when(phase == 0, empty).otherwise(city), F.when(stating, t).when(stated & ~coded, F.lit(None)).otherwise(s["state"]), F.when(coded, F.substring(t, 1, 5)).otherwise(s["zip"]),
+        ).cast(_WALK)
+
+    none = F.lit(None).cast("string")
+    start = F.struct(F.lit(0), none, none, F.array().cast("array<string>"), none, none, none, none, F.array().cast("array<string>"), none, none).cast(_WALK)
+    return F.aggregate(tags, start, step)
+
+
+def address_ladder(c: Column, city: Column | None = None, state: Column | None = None, market: str = "") -> Column:
+    """struct(street, unit, city, state, zip, canonical, rung) by the first grammar that reads the address.
+
+    rung: `segments`, where commas part a street that ends with a suffix from the rest; `walk`, where
+    the words alone tell; `loose`, where only the first segment is taken as a street line, with the
+    ZIP and state of the last.
+    """
+    segments = F.filter(F.transform(F.split(F.upper(c), ","), lambda s: F.trim(s)), lambda s: s != "")
+    given = lambda col, make: make(col) if col is not None else F.lit(None).cast("string")
+
+    def walk(w: Column) -> Column:
+        street = F.concat_ws(" ", w["house"], w["direction"], F.array_join(w["name"], " "), w["suffix"], w["post"])
+        town = F.coalesce(given(city, lambda x: city_name(x, market)), city_name(F.nullif(F.array_join(w["city"], " "), F.lit("")), market))
+        return F.struct(street.alias("street"), w["unit"].alias("unit"), town.alias("city"), F.coalesce(given(state, state_code), w["state"]).alias("state"), w["zip"].alias("zip"))
+
+    def line(parts: Column) -> Column:
+        last = F.element_at(parts, -1)
+        town = F.when(F.size(parts) >= 3, city_name(F.get(parts, F.size(parts) - 2), market))
+        return F.struct(
+            F.nullif(loose_street_line(F.get(parts, F.lit(0))), F.lit("")).alias("street"), F.lit(None).cast("string").alias("unit"), F.coalesce(given(city, lambda x: city_name(x, market)), town).alias("city"),
+            F.coalesce(given(state, state_code), F.nullif(F.regexp_extract(last, r"\b(" + "|".join(fixed.STATES.values()) + r")\b", 1), F.lit(""))).alias("state"), zip_code(last).alias("zip"),
+        )
+
+    def chosen(x: Column) -> Column:
+        first, w = x["first"], x["walked"]
+        ends = mapped(F.element_at(F.split(first["street"], " "), -1), {**fixed.SUFFIXES, **fixed.DIRECTIONS}).isNotNull()
+        read = F.coalesce((F.size(x["segments"]) > 1) & first["street"].rlike(r"^\d") & ends, F.lit(False))
+        plain = F.struct(*[first[f].alias(f) for f in ("street", "unit", "city", "state", "zip")])
+        walks = w["phase"].isin(2, 3, 4)
+        best = F.when(read, plain).when(walks, walk(w)).otherwise(line(x["segments"]))
+        return F.struct(best.alias("best"), F.when(read, "segments").when(walks, "walk").otherwise("loose").alias("rung"))
+
+    def named(x: Column) -> Column:
+        best = x["best"]
+        canonical = F.when(best["street"].isNotNull(), F.concat_ws(" ", best["street"], best["city"], best["state"], best["zip"]))
+        return F.struct(*[best[f].alias(f) for f in ("street", "unit", "city", "state", "zip")], canonical.alias("canonical"), x["rung"].alias("rung"))
+
+    # each step is bound once, as the only element of a list
+    bound = F.array(F.struct(address_parts(c, city, state, market).alias("first"), walked_address(c).alias("walked"), segments.alias("segments")))
+    return F.when(F.trim(c) != "", F.get(F.transform(F.transform(bound, chosen), named), F.lit(0)))
+
+
 _SUFFIX_RUN = "(?: (?:" + "|".join(fixed.LEGAL_SUFFIXES) + "))+$"
 
 

@@ -54,6 +54,26 @@ def address_normalised(spark, sf_dir):
     return project.select("project_id", parts.alias("a")).select("project_id", "a.street", "a.unit", "a.city", "a.state", "a.zip", "a.canonical")
 
 
+_FORM = """CASE project_id % 5 WHEN 0 THEN address WHEN 1 THEN concat(lower(street), ' nw Apt 7 Santa Monica ca ', zip) WHEN 2 THEN concat(street, ', #', CAST(units AS VARCHAR(9)), ', DTLA, CA ', zip) WHEN 3 THEN concat('Corner of ', upper(developer), ' and Fifth Av, DTLA, CA ', zip) ELSE concat(house, ' n ', upper(developer), ' Place st ', zip, '-1234') END"""
+
+
+@query(
+    """WITH a AS (SELECT project_id, units, upper(developer) AS dev, string_split(address, ' ')[1] AS house, right(address, 5) AS zip FROM project WHERE address IS NOT NULL),
+       p AS (SELECT *, project_id % 5 AS k FROM a),
+       r AS (SELECT project_id, CASE k WHEN 0 THEN concat(house, ' ', dev, ' STREET') WHEN 1 THEN concat(house, ' ', dev, ' STREET NORTHWEST') WHEN 2 THEN concat(house, ' ', dev, ' STREET') WHEN 3 THEN concat('CORNER OF ', dev, ' AND 5TH AVENUE') ELSE concat(house, ' NORTH ', dev, ' PLACE STREET') END AS street,
+         CASE k WHEN 1 THEN 'APT 7' WHEN 2 THEN concat('#', units) END AS unit, CASE k WHEN 0 THEN 'LOS ANGELES' WHEN 1 THEN 'SANTA MONICA' WHEN 4 THEN NULL ELSE 'LOS ANGELES' END AS city, CASE WHEN k <> 4 THEN 'CA' END AS state, zip, CASE k WHEN 2 THEN 'segments' WHEN 3 THEN 'loose' ELSE 'walk' END AS rung FROM p)
+       SELECT project_id, street, unit, city, state, zip, concat_ws(' ', street, city, state, zip) AS canonical, rung FROM r""",
+    "project",
+)
+def address_ladder(spark, sf_dir):
+    """Addresses with and without commas, with directions, units and double suffixes, and of no known form: the grammar that reads each."""
+    (project,) = views(spark, sf_dir, "project")
+    parts = F.split("address", " ")
+    rows = project.filter("address IS NOT NULL").select("project_id", "units", "developer", "address", parts[0].alias("house"), F.right("address", F.lit(5)).alias("zip"), F.regexp_replace("address", " LOS ANGELES.*$", "").alias("street"))
+    found = text.address_ladder(F.expr(_FORM), market="los_angeles")
+    return rows.select("project_id", found.alias("a")).select("project_id", "a.*")
+
+
 @query(
     """SELECT project_id, CASE project_id % 3 WHEN 0 THEN 'Under Construction' WHEN 1 THEN 'Pre-Leasing/Pre-Selling' END AS status, CASE project_id % 3 WHEN 0 THEN 'under_construction' WHEN 1 THEN 'pre_leasing_pre_selling' ELSE 'no_such_thing' END AS key FROM project""",
     "project",

@@ -95,3 +95,22 @@ def test_radius_crosses_cells(spark):
     pairs = matching.within_radius(points.withColumnRenamed("id", "a"), points.withColumnRenamed("id", "b"), 250.0)
     assert {(r.a, r.b) for r in pairs.filter("a < b").collect()} == {(1, 2), (1, 3), (2, 3)}
     assert pairs.filter("a = 1 AND b IN (2, 3)").count() == 2 and pairs.filter("a = 4 AND b <> 4").count() == 0
+
+
+def test_address_ladder_by_hand(spark):
+    from siltstone.functions.text import address_ladder
+
+    cases = {
+        "123 Main St, Los Angeles, CA 90012": ("123 MAIN STREET", None, "LOS ANGELES", "CA", "90012", "segments"),
+        "123 n main st los angeles ca 90012-1234": ("123 NORTH MAIN STREET", None, "LOS ANGELES", "CA", "90012", "walk"),
+        "45-47 Park Place Ave Apt 3B La Jolla CA": ("45-47 PARK PLACE AVENUE", "APT 3B", "LA JOLLA", "CA", None, "walk"),
+        "9 North St": ("9 NORTH STREET", None, None, None, None, "walk"),
+        "12 Second Street NE #5 Boise ID 83702": ("12 2ND STREET NORTHEAST", "#5", "BOISE", "ID", "83702", "walk"),
+        "Pier 39, San Francisco, CA 94133": ("PIER 39", None, "SAN FRANCISCO", "CA", "94133", "loose"),
+        "500 Broadway": ("500 BROADWAY", None, None, None, None, "loose"),
+        "  ": None, "": None,
+    }
+    rows = spark.createDataFrame([(k,) for k in cases] + [(None,)], "a string").select("a", address_ladder(F.col("a")).alias("x")).collect()
+    for r in rows:
+        want = cases.get(r.a)
+        assert (r.x and (r.x.street, r.x.unit, r.x.city, r.x.state, r.x.zip, r.x.rung)) == want, r
