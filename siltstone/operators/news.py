@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import has_zip
+from siltstone.operators.matching import by_identifier
 
 
 def current_references(references: DataFrame) -> DataFrame:
@@ -48,6 +49,24 @@ def address_composite(references: DataFrame, projects: DataFrame, confirmed: flo
     return best.filter(F.col("score") >= possible).select("reference_id", status.alias("status"), F.when(status == "confirmed", F.col("project_id")).alias("project_id"), "score", "candidates")
 
 
+def identifier_step(identifiers: DataFrame, owned: DataFrame) -> DataFrame:
+    """(reference_id, status, project_id, score): references whose case, permit or parcel numbers one project owns, or several.
+
+    `identifiers` is (reference_id, kind, value), `owned` (kind, value, project_id); values are compared
+    by their letters and digits. A reference may have several numbers, which count together.
+    """
+    plain = lambda rows: rows.withColumn("value", F.regexp_replace(F.upper("value"), "[^A-Z0-9]", "")).filter("value <> ''")
+    named = plain(identifiers).select("reference_id", "kind", "value").distinct()
+    found = by_identifier(named, plain(owned).select("kind", "value", "project_id").distinct(), "reference_id", ["kind", "value"], "project_id")
+    return found.select("reference_id", F.when(F.col("possible"), "possible").otherwise("confirmed").alias("status"), F.when(~F.col("possible"), F.col("owner")).alias("project_id"), F.col("confidence").alias("score"))
+
+
+def hint_step(hints: DataFrame, projects: DataFrame, score: float = 0.96) -> DataFrame:
+    """(reference_id, status, project_id, score): references for which the extraction named a project that exists."""
+    known = hints.join(projects.select("project_id"), "project_id").groupBy("reference_id").agg(F.min("project_id").alias("project_id"))
+    return known.select("reference_id", F.lit("confirmed").alias("status"), "project_id", F.lit(score).alias("score"))
+
+
 def ladder(references: DataFrame, steps: list[tuple[str, DataFrame]], strong: Column) -> DataFrame:
     """The first step that finds something; else a new candidate where the signals are strong, else discarded.
 

@@ -50,6 +50,30 @@ def integrate(references: DataFrame, projects: DataFrame, existing: DataFrame, c
     return became.select("reference_id", "step", "status", "project_id", "action"), cards
 
 
+def integrate_current(references: DataFrame, identifiers: DataFrame, owned: DataFrame, hints: DataFrame, projects: DataFrame, existing: DataFrame, carded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """References of current extractions through all steps to (what each becomes) and (cards for what differs on confirmed projects).
+
+    A reference is matched by its numbers, then by the project that the extraction named, then by
+    address; what is left is a new candidate or discarded. Evidence of confirmed ones is written
+    unless it is there. Units and developer that differ from the project's give a card where none is
+    open; of several references that differ alike, one.
+    """
+    current = news.current_references(references)
+    mine = lambda rows: rows.join(current.select("reference_id"), "reference_id", "left_semi")
+    composite = news.address_composite(current, projects).select("reference_id", "status", "project_id", "score")
+    strong = F.col("units").isNotNull() & (F.col("units") >= 10) & F.col("developer").isNotNull()
+    steps = [("identifier", news.identifier_step(mine(identifiers), owned)), ("hint", news.hint_step(mine(hints), projects)), ("address", composite)]
+    routed = news.ladder(current, steps, F.coalesce(strong, F.lit(False)))
+    confirmed = current.drop("project_id").join(routed.filter("status = 'confirmed'"), "reference_id")
+    evidence = confirmed.select(F.col("reference_id").alias("evidence_id"), "project_id", F.lit("news_article").alias("source_type"), F.col("article_id").cast("string").alias("record_id"), "hash")
+    became = routed.join(sinks.evidence_writes(evidence, existing).select(F.col("evidence_id").alias("reference_id"), "action"), "reference_id", "left")
+    now = projects.select("project_id", F.col("units").cast("string").alias("_units"), F.col("developer").alias("_developer"))
+    both = confirmed.join(now, "project_id")
+    differs = lambda f, old: F.when(F.coalesce(F.lower(F.trim(F.col(f).cast("string"))) != F.lower(F.trim(old)), F.lit(False)), F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("proposed")))
+    cards = both.select("project_id", F.inline(F.array_compact(F.array(differs("units", F.col("_units")), differs("developer", F.col("_developer")))))).distinct()
+    return became.select("reference_id", "step", "status", "project_id", "action"), cards.join(carded, ["project_id", "field"], "left_anti")
+
+
 def scrape_counters(outcomes: DataFrame) -> DataFrame:
     """Per source, how many of its discovered URLs ended how."""
     return outcomes.groupBy("source_id").agg(

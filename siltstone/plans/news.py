@@ -205,3 +205,48 @@ def integration_cards(spark, sf_dir):
     rows = refs.withColumns({"article_id": k % 300, "hash": k % 4, "extraction_id": (k % 2).cast("int"), "current_extraction_id": F.when(k % 5 != 0, 1)})
     existing = rows.limit(0).select(F.lit("news_article").alias("source_type"), F.col("article_id").cast("string").alias("record_id"), "hash", k.alias("project_id"))
     return pipelines.integrate(rows, project, existing, project.filter("project_id % 2 = 0").select("project_id", F.lit("units").alias("field")))[1]
+
+
+_APN = "concat(lpad(CAST({0} % 1500 AS VARCHAR(9)), 4, '0'), '{1}', '001{1}', lpad(CAST({0} % 3 AS VARCHAR(9)), 3, '0'))"
+_STEPS = f"""{_NAMED}, cur AS (SELECT *, reference_id % 300 AS article_id, reference_id % 4 AS hash, developer AS dev FROM r WHERE reference_id % 5 = 0 OR reference_id % 2 = 1),
+  own AS (SELECT project_id, {_APN.format("project_id", "")} AS v FROM project WHERE project_id % 3 <> 1),
+  idn AS (SELECT reference_id, count(DISTINCT o.project_id) AS n, min(o.project_id) AS o FROM cur JOIN own o ON o.v = {_APN.format("(reference_id - 1000000)", "")} WHERE reference_id % 10 < 3 GROUP BY reference_id),
+  hint AS (SELECT reference_id, reference_id - 1000000 AS o FROM cur WHERE reference_id % 14 = 0),
+  j AS (SELECT cur.*, CASE WHEN i.n IS NOT NULL THEN 'identifier' WHEN h.o IS NOT NULL THEN 'hint' WHEN c.status IS NOT NULL THEN 'address' WHEN dev IS NOT NULL AND units >= 10 THEN 'new_candidate' ELSE 'discarded' END AS step,
+      CASE WHEN i.n = 1 THEN 'confirmed' WHEN i.n > 1 THEN 'possible' WHEN h.o IS NOT NULL THEN 'confirmed' WHEN c.status IS NOT NULL THEN c.status WHEN dev IS NOT NULL AND units >= 10 THEN 'new_candidate' ELSE 'discarded' END AS status,
+      CASE WHEN i.n = 1 THEN i.o WHEN i.n > 1 THEN NULL WHEN h.o IS NOT NULL THEN h.o WHEN c.status = 'confirmed' THEN c.best END AS p FROM cur LEFT JOIN idn i USING (reference_id) LEFT JOIN hint h USING (reference_id) LEFT JOIN composite c USING (reference_id))"""
+
+
+def _integrated(spark, sf_dir):
+    refs, project = _named(spark, sf_dir)
+    k, p = F.col("reference_id"), F.col("reference_id") - 1000000
+    apn = lambda c, gap: F.concat(F.lpad((c % 1500).cast("string"), 4, "0"), F.lit(f"{gap}001{gap}"), F.lpad((c % 3).cast("string"), 3, "0"))
+    rows = refs.withColumns({"article_id": k % 300, "hash": k % 4, "extraction_id": (k % 2).cast("int"), "current_extraction_id": F.when(k % 5 != 0, 1)})
+    identifiers = rows.filter(k % 10 < 3).select("reference_id", F.lit("apn").alias("kind"), apn(p, "-").alias("value"))
+    owned = project.filter("project_id % 3 <> 1").select(F.lit("apn").alias("kind"), apn(F.col("project_id"), "").alias("value"), "project_id")
+    hints = rows.filter(k % 7 == 0).select("reference_id", F.when(k % 14 == 0, p).otherwise(p + 1_000_000_000).alias("project_id"))
+    existing = rows.filter("reference_id % 8 = 0").select(F.lit("news_article").alias("source_type"), F.col("article_id").cast("string").alias("record_id"), "hash", F.when(k % 16 != 0, p).alias("project_id"))
+    carded = project.select("project_id", F.lit("units").alias("field")).filter("project_id % 2 = 0")
+    return pipelines.integrate_current(rows, identifiers, owned, hints, project, existing, carded)
+
+
+@query(
+    f"""WITH {_STEPS}, k AS (SELECT reference_id % 300 AS article_id, reference_id % 4 AS hash, max(CASE WHEN reference_id % 16 <> 0 THEN reference_id - 1000000 END) AS owner FROM r WHERE reference_id % 8 = 0 GROUP BY ALL),
+       n AS (SELECT *, row_number() OVER (PARTITION BY article_id, hash, p ORDER BY reference_id) AS nth FROM j WHERE status = 'confirmed'),
+       w AS (SELECT n.reference_id, CASE WHEN nth > 1 THEN 'skip' WHEN k.article_id IS NULL THEN 'insert' WHEN owner IS NULL THEN 'link' ELSE 'skip' END AS action FROM n LEFT JOIN k USING (article_id, hash))
+       SELECT reference_id, step, status, p AS project_id, action FROM j LEFT JOIN w USING (reference_id)""",
+    "project",
+)
+def integrate_current(spark, sf_dir):
+    """References of current extractions by their numbers, by the project that was named, and by address."""
+    return _integrated(spark, sf_dir)[0]
+
+
+@query(
+    f"""WITH {_STEPS}, d AS (SELECT j.p AS project_id, j.units, p.units AS pu, dev, p.developer AS pd FROM j JOIN project p ON p.project_id = j.p WHERE status = 'confirmed')
+       SELECT DISTINCT project_id, 'units' AS field, CAST(units AS VARCHAR) AS proposed FROM d WHERE units <> pu AND project_id % 2 <> 0 UNION SELECT DISTINCT project_id, 'developer', dev FROM d WHERE lower(trim(dev)) <> lower(trim(pd))""",
+    "project",
+)
+def current_integration_cards(spark, sf_dir):
+    """Cards for units and developers of confirmed projects that current references change."""
+    return _integrated(spark, sf_dir)[1]
