@@ -14,9 +14,10 @@ a unit.
    share, in as many contexts) does not draw all these units to one shard: its windows go
    alone, by their own hash.
 3. A shard joins equal units, keeps where each starts first, and indexes their words: an
-   FM-index on a wavelet matrix. The units are streamed through it. Backward search from
-   each position gives the matching statistics up to a window's length; where they reach
-   it, the interval holds all starts of the window, and so the first.
+   FM-index on a wavelet matrix whose bits are compressed. The units are streamed through it
+   from their ends, and matching statistics are carried: the matched length grows by backward
+   search to a window's, and then each step drops the last word and puts one in front. The
+   interval of a window holds all its starts, and so the first.
 4. Blocks get their units' first starts back and mark the words.
 
 Words are told apart by 64-bit hashes, of which the index's alphabet has 32 bits; no word
@@ -234,7 +235,7 @@ def mark_repeats(docs: DataFrame, params: SubstringParams = SubstringParams(), i
         unit = np.repeat(np.arange(len(pick)), many[pick])
         windows = _spread(at, many[pick])
         own_doc, own_place = doc[pick][unit], start[pick][unit] + windows - at[unit]
-        low, high = index.matches(windows, window)
+        low, high = index.stream(line, at, many[pick])
         rank = np.full(len(line), len(windows), np.int64)
         sorted_windows = np.lexsort((own_place, own_doc))
         rank[windows[sorted_windows]] = np.arange(len(windows))
