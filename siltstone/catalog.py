@@ -11,7 +11,7 @@ from siltstone import registry
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = ("windows", "filters", "aggregates", "joins", "paging", "text", "dates", "scores", "resolution", "semistructured", "sources", "streams", "fields", "review", "registry", "extraction", "news", "scalars", "ledgers", "shapes", "projects")
+_MODULES = ("windows", "filters", "aggregates", "joins", "paging", "text", "dates", "scores", "resolution", "semistructured", "sources", "streams", "fields", "review", "registry", "extraction", "news", "scalars", "ledgers", "shapes", "projects", "worksheets")
 
 
 def _load() -> None:
