@@ -123,11 +123,41 @@ def likelihood(s: str, p: str, pairs: DataFrame) -> Column:
     })
 
 
-def layered_candidates(subjects: DataFrame, projects: DataFrame, limit: int = 25, sweep: bool = False, sweep_limit: int = 100) -> DataFrame:
+def hard_signals(subjects: DataFrame, projects: DataFrame, subject_numbers: DataFrame | None = None, project_numbers: DataFrame | None = None) -> DataFrame:
+    """(subject_id, project_id, name, detail) of hard agreements: identifier, address, geographic (250 m) and developer with a second reason.
+
+    Numbers are (project_id, kind, value); only those of one market count. A pair of equal developers
+    needs at least one of: within 1 km, equal type, three shared address tokens, equal units; its
+    detail names all that hold. Every signal is said once.
+    """
+    columns = ["project_id", "market_id", "address", "developer", "units", "product_type", "lat", "lng"]
+    s = subjects.select(*[F.col(c).alias(f"s_{c}") for c in columns])
+    p = projects.select(*[F.col(c).alias(f"p_{c}") for c in columns])
+    one = lambda pairs, name, detail: pairs.select(F.col("s_project_id").alias("subject_id"), F.col("p_project_id").alias("project_id"), F.lit(name).alias("name"), detail.alias("detail"))
+    address = s.join(p, (F.col("s_market_id") == F.col("p_market_id")) & (F.col("s_address") == F.col("p_address")))
+    points = lambda df, side: df.select(F.col("project_id").alias(f"{side}_project_id"), "lat", "lng")
+    near = within_radius(points(subjects, "s"), points(projects, "p"), 250.0)
+    named = lambda df, side: df.withColumn("_d", text.developer_name(F.col(f"{side}_developer"))).withColumn("_m", F.col(f"{side}_market_id"))
+    distance = scores.haversine_meters(F.col("s_lat"), F.col("s_lng"), F.col("p_lat"), F.col("p_lng"))
+    reasons = F.array_compact(F.array(
+        F.when(distance <= 1000, "nearby location"), F.when(scores.product_type_score(F.col("s_product_type"), F.col("p_product_type")) > 0, "product type"),
+        F.when(shared_tokens(F.col("s_address"), F.col("p_address")) >= 3, "partial address"), F.when(F.col("s_units") == F.col("p_units"), "unit count"),
+    ))
+    same = named(s, "s").join(named(p, "p"), ["_d", "_m"]).withColumn("_why", reasons).filter(F.size("_why") > 0)
+    found = one(address, "address", F.lit("exact address")).unionByName(one(near, "geographic", F.lit("within 250m")))
+    found = found.unionByName(one(same, "developer", F.concat(F.lit("developer plus "), F.array_join("_why", ", "))))
+    if subject_numbers is not None and project_numbers is not None:
+        mine = subject_numbers.select(F.col("project_id").alias("s_project_id"), "kind", "value").join(s.select("s_project_id", "s_market_id"), "s_project_id")
+        other = project_numbers.select(F.col("project_id").alias("p_project_id"), "kind", "value").join(p.select("p_project_id", "p_market_id"), "p_project_id")
+        met = mine.join(other, ["kind", "value"]).filter(F.col("s_market_id") == F.col("p_market_id"))
+        found = found.unionByName(one(met, "identifier", F.concat_ws(":", "kind", "value")))
+    return found.filter("subject_id <> project_id").distinct()
+
+
+def layered_candidates(subjects: DataFrame, projects: DataFrame, limit: int = 25, sweep: bool = False, sweep_limit: int = 100, numbers: tuple[DataFrame | None, DataFrame | None] = (None, None)) -> DataFrame:
     """Per subject, projects in layers: 1 hard agreement, 2 similar text, 3 (if asked for) all near or similar ones.
 
-    Hard: equal address; within 250 m; or equal developer and one of within 1 km, equal type,
-    three shared address tokens, equal units. A later layer leaves out the earlier ones.
+    Hard: see `hard_signals`, which may have the numbers of both sides. A later layer leaves out the earlier ones.
     Ordered by layer, likelihood and id. Both tables: project_id, market_id, address, name,
     developer, units, product_type, lat, lng.
     """
@@ -135,20 +165,15 @@ def layered_candidates(subjects: DataFrame, projects: DataFrame, limit: int = 25
     s = subjects.select(*[F.col(c).alias(f"s_{c}") for c in columns])
     p = projects.select(*[F.col(c).alias(f"p_{c}") for c in columns])
     ids = ["s_project_id", "p_project_id"]
-    address = s.join(p, (F.col("s_market_id") == F.col("p_market_id")) & (F.col("s_address") == F.col("p_address"))).select(*ids)
     points = lambda df, side: df.select(F.col("project_id").alias(f"{side}_project_id"), "lat", "lng")
-    near = within_radius(points(subjects, "s"), points(projects, "p"), 1000.0).select(*ids, "meters")
-    named = lambda df, side: df.withColumn("_d", text.developer_name(F.col(f"{side}_developer"))).withColumn("_m", F.col(f"{side}_market_id"))
-    same = named(s, "s").join(named(p, "p"), ["_d", "_m"])
-    distance = scores.haversine_meters(F.col("s_lat"), F.col("s_lng"), F.col("p_lat"), F.col("p_lng"))
-    second = (distance <= 1000) | (scores.product_type_score(F.col("s_product_type"), F.col("p_product_type")) > 0) | (shared_tokens(F.col("s_address"), F.col("p_address")) >= 3) | (F.col("s_units") == F.col("p_units"))
-    hard = address.unionByName(near.filter("meters <= 250").select(*ids)).unionByName(same.filter(F.coalesce(second, F.lit(False))).select(*ids))
+    hard = hard_signals(subjects, projects, *numbers).select(F.col("subject_id").alias("s_project_id"), F.col("project_id").alias("p_project_id"))
     found = hard.withColumn("layer", F.lit(1))
     side = lambda df, c: df.withColumnRenamed("project_id", c)
     soft = top_similar(side(subjects, "s_project_id"), side(projects, "p_project_id"), *ids, ["address", "name"], ["market_id"]).select(*ids)
     found = found.unionByName(soft.withColumn("layer", F.lit(2)))
     if sweep:
         wide = top_similar(side(subjects, "s_project_id"), side(projects, "p_project_id"), *ids, ["address", "name"], ["market_id"], sweep_limit)
+        near = within_radius(points(subjects, "s"), points(projects, "p"), 1000.0)
         found = found.unionByName(near.select(*ids).unionByName(wide.select(*ids)).withColumn("layer", F.lit(3)))
     pairs = found.filter("s_project_id <> p_project_id").groupBy(*ids).agg(F.min("layer").alias("layer"))
     scored = pairs.join(s, "s_project_id").join(p, "p_project_id")

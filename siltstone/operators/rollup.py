@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -56,3 +56,14 @@ def duplicate_groups(df: DataFrame, keys: list[str], order: Column, id_col: str)
     rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col(id_col).alias("i")))).alias("_all")).filter(F.size("_all") > 1)
     ids = F.transform("_all", lambda x: x["i"])
     return rows.select(*keys, F.get(ids, F.lit(0)).alias("survivor"), F.slice(ids, 2, 2**30).alias("invalid"))
+
+
+def parse_health(rows: DataFrame, status: str, ok: str = "ok") -> DataFrame:
+    """A row for each state: how many, of how many in all, the share of `ok`, and its place, `ok` first, then the commonest.
+
+    States are few, so the totals are a second, small aggregate.
+    """
+    counts = rows.groupBy(status).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("total"), (F.coalesce(F.sum(F.when(F.col(status) == ok, F.col("n"))), F.lit(0)).cast("double") / F.sum("n")).alias("ok_rate"))
+    place = F.row_number().over(Window.orderBy(F.when(F.col(status) == ok, 0).otherwise(1), F.desc("n"), status)).cast("long")
+    return counts.join(F.broadcast(total)).select(status, "n", "total", "ok_rate", place.alias("place"))

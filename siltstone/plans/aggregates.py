@@ -66,6 +66,16 @@ def parse_health(spark, sf_dir):
     return op.bucket_counts(rows, "status")
 
 
+@query(
+    """WITH d AS (SELECT DISTINCT o_custkey, CASE o_orderstatus WHEN 'F' THEN 'ok' WHEN 'O' THEN 'truncated' ELSE 'parse_error' END AS status FROM orders), c AS (SELECT status, count(*) AS n FROM d GROUP BY status)
+       SELECT status, n, CAST(sum(n) OVER () AS BIGINT) AS total, CAST(coalesce(sum(CASE WHEN status = 'ok' THEN n END) OVER (), 0) AS DOUBLE) / sum(n) OVER () AS ok_rate, row_number() OVER (ORDER BY CASE WHEN status = 'ok' THEN 0 ELSE 1 END, n DESC, status) AS place FROM c"""
+)
+def parse_health_rates(spark, sf_dir):
+    """Counts of parse states, ok first, with the share of what is ok."""
+    named = F.when(F.col("o_orderstatus") == "F", "ok").when(F.col("o_orderstatus") == "O", "truncated").otherwise("parse_error")
+    return op.parse_health(table(spark, sf_dir, "orders").select("o_custkey", named.alias("status")).distinct(), "status")
+
+
 @query("SELECT state, count(DISTINCT project_id) AS n_projects, count(DISTINCT jurisdiction_id) AS n_jurisdictions, count(*) AS n FROM review_item GROUP BY state", "review_item")
 def distinct_items_by_status(spark, sf_dir):
     (items,) = views(spark, sf_dir, "review_item")

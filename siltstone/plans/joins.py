@@ -94,6 +94,28 @@ def trigram_top75(spark, sf_dir):
     return op.top_similar(subjects, project, "subject_id", "project_id", ["address", "name"], ["market_id"]).withColumn("total", F.round("total", 6))
 
 
+_TOKENS = "list_distinct(list_filter(string_split_regex(upper({0}), '[^A-Z0-9]+'), lambda t: len(t) > 2))"
+_NUMBERED = "SELECT project_id, unnest([concat('apn:', project_id % 700), concat('vendor:', project_id % 900)]) AS n FROM project WHERE project_id % 3 <> 1"
+
+
+@query(
+    f"""WITH num AS ({_NUMBERED}), pair AS (SELECT s.project_id AS subject_id, p.project_id, s.address AS sa, p.address AS pa, s.developer AS sd, p.developer AS pd, s.units AS su, p.units AS pu, s.market_id = p.market_id AS near_market, {_HAVERSINE} AS m
+         FROM project s JOIN project p ON s.project_id <> p.project_id WHERE s.project_id % 100 = 0),
+       d AS (SELECT subject_id, project_id, array_to_string(list_filter([CASE WHEN m <= 1000 THEN 'nearby location' END, CASE WHEN len(list_intersect({_TOKENS.format("sa")}, {_TOKENS.format("pa")})) >= 3 THEN 'partial address' END, CASE WHEN su = pu THEN 'unit count' END], lambda x: x IS NOT NULL), ', ') AS why FROM pair WHERE near_market AND sd = pd)
+       SELECT subject_id, project_id, 'address' AS name, 'exact address' AS detail FROM pair WHERE near_market AND sa = pa UNION ALL SELECT subject_id, project_id, 'geographic', 'within 250m' FROM pair WHERE m <= 250
+       UNION ALL SELECT subject_id, project_id, 'developer', concat('developer plus ', why) FROM d WHERE why <> '' UNION ALL SELECT x.subject_id, x.project_id, 'identifier', a.n FROM pair x JOIN num a ON a.project_id = x.subject_id JOIN num b ON b.project_id = x.project_id AND b.n = a.n WHERE near_market""",
+    "project",
+)
+def hard_signals(spark, sf_dir):
+    """Hard agreements of subjects with all projects: identifiers, addresses, places, and developers with their second reasons."""
+    (project,) = views(spark, sf_dir, "project")
+    k = F.col("project_id")
+    entry = lambda kind, n: F.struct(F.lit(kind).alias("kind"), (k % n).cast("string").alias("value"))
+    numbers = project.filter(k % 3 != 1).select("project_id", F.inline(F.array(entry("apn", 700), entry("vendor", 900))))
+    subjects = k % 100 == 0
+    return op.hard_signals(project.filter(subjects), project, numbers.filter(subjects), numbers)
+
+
 @query()
 def layered_dedup(spark, sf_dir):
     (project,) = views(spark, sf_dir, "project")
