@@ -142,3 +142,26 @@ def failing_sources(runs: DataFrame, source: str, at: str, key: str, failed: Col
     streak = F.coalesce(F.min(F.when(~F.col("_f"), F.col("_r"))) - 1, F.max("_r"))
     found = rows.groupBy(source).agg(streak.cast("int").alias("streak"))
     return found.withColumn("action", F.when(F.col("streak") >= pause_from, "pause").when(F.col("streak") > 0, "alert").otherwise("none"))
+
+
+#: The fields by which a subject and a candidate are compared, with their types.
+COMPARABLE = {
+    "project_name": "text", "canonical_address": "text", "developer": "text", "total_units": "integer", "market_rate_units": "integer", "affordable_units": "integer",
+    "workforce_units": "integer", "product_type": "enum", "age_restriction": "enum", "pipeline_status": "enum", "stories": "integer",
+}
+
+
+def typed_deltas(pairs: DataFrame, keys: list[str], subject: str = "s_", candidate: str = "c_") -> DataFrame:
+    """(keys..., field, field_type, current_value, evidence_value): comparable fields that the subject knows and the candidate has otherwise or not.
+
+    Texts are compared trimmed, and a blank one is unknown; whole numbers by value, so 12 and 12.0 are
+    the same. `pairs` has the fields of both sides under their prefixes.
+    """
+
+    def value(name: str, kind: str) -> Column:
+        text = F.trim(F.col(name).cast("string"))
+        return F.when(text != "", F.coalesce(text.try_cast("double").try_cast("long").cast("string"), text) if kind == "integer" else text)
+
+    one = lambda f, kind: F.struct(F.lit(f).alias("field"), F.lit(kind).alias("field_type"), value(f"{candidate}{f}", kind).alias("current_value"), value(f"{subject}{f}", kind).alias("evidence_value"))
+    rows = pairs.select(*keys, F.inline(F.array(*[one(f, kind) for f, kind in COMPARABLE.items()])))
+    return rows.filter(F.col("evidence_value").isNotNull() & ~F.col("evidence_value").eqNullSafe(F.col("current_value")))

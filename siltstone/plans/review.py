@@ -135,6 +135,31 @@ def candidate_deltas(spark, sf_dir):
     return rows.filter(F.col("subject").isNotNull() & ~F.col("subject").eqNullSafe(F.col("candidate")))
 
 
+_SIDES = {
+    "project_name": ("concat(' ', name, ' ')", "name"), "canonical_address": ("address", "address"), "developer": ("CASE WHEN project_id % 5 = 0 THEN '  ' ELSE developer END", "developer"), "total_units": ("CAST(units AS VARCHAR(9))", "concat(CAST(units AS VARCHAR(9)), '.0')"),
+    "market_rate_units": ("CAST(units % 9 AS VARCHAR(9))", "CAST(units % 8 AS VARCHAR(9))"), "affordable_units": ("NULL", "CAST(units % 3 AS VARCHAR(9))"), "workforce_units": ("CAST(units % 2 AS VARCHAR(9))", "NULL"), "product_type": ("product_type", "product_type"),
+    "age_restriction": ("CASE WHEN project_id % 2 = 0 THEN 'Senior' END", "CASE WHEN project_id % 3 = 0 THEN 'Senior' ELSE 'Unknown' END"), "pipeline_status": ("concat('S', CAST(status_rank AS VARCHAR(9)))", "concat('S', CAST(status_rank % 4 AS VARCHAR(9)))"), "stories": ("CAST(units % 5 AS VARCHAR(9))", "CAST(units % 5 AS VARCHAR(9))"),
+}
+_WHOLE = "coalesce(CAST(TRY_CAST(TRY_CAST(trim({0}) AS DOUBLE) AS BIGINT) AS VARCHAR), trim({0}))"
+_TYPED = " UNION ALL ".join(
+    f"SELECT s.project_id AS subject_id, c.project_id AS candidate_id, '{f}' AS field, '{kind}' AS field_type, CASE WHEN trim(c.c_{f}) <> '' THEN {(_WHOLE if kind == 'integer' else 'trim({0})').format('c.c_' + f)} END AS current_value, CASE WHEN trim(s.s_{f}) <> '' THEN {(_WHOLE if kind == 'integer' else 'trim({0})').format('s.s_' + f)} END AS evidence_value FROM sub s JOIN can c ON c.project_id = s.project_id + 7"
+    for f, kind in op.COMPARABLE.items()
+)
+
+
+@query(
+    f"""WITH sub AS (SELECT project_id, {", ".join(f"CAST({a} AS VARCHAR) AS s_{f}" for f, (a, _) in _SIDES.items())} FROM project), can AS (SELECT project_id, {", ".join(f"CAST({b} AS VARCHAR) AS c_{f}" for f, (_, b) in _SIDES.items())} FROM project)
+      SELECT * FROM ({_TYPED}) WHERE evidence_value IS NOT NULL AND evidence_value IS DISTINCT FROM current_value""",
+    "project",
+)
+def comparable_deltas(spark, sf_dir):
+    """All eleven comparable fields of subjects and candidates, by their types."""
+    (project,) = views(spark, sf_dir, "project")
+    side = lambda name, prefix, k: project.select(F.col("project_id").alias(name), *[F.expr(x[k]).cast("string").alias(f"{prefix}{f}") for f, x in _SIDES.items()])
+    pairs = side("subject_id", "s_", 0).join(side("candidate_id", "c_", 1), F.col("candidate_id") == F.col("subject_id") + 7)
+    return op.typed_deltas(pairs, ["subject_id", "candidate_id"])
+
+
 _COMPARE = "CASE WHEN {0} IS NOT DISTINCT FROM {1} THEN 'match' WHEN {0} IS NULL THEN 'missing_ours' WHEN {1} IS NULL THEN 'missing_theirs' ELSE 'mismatch' END"
 _POINTS = """a AS (SELECT project_id, units, address, CASE WHEN project_id % 6 <> 0 THEN lat END AS lat, lng FROM project), b AS (SELECT project_id, CASE WHEN project_id % 5 <> 0 THEN CASE WHEN project_id % 4 = 0 THEN units + 1 ELSE units END END AS units,
   CASE WHEN project_id % 9 <> 0 THEN address END AS address, CASE WHEN project_id % 7 <> 0 AND project_id % 12 <> 0 THEN CASE WHEN project_id % 4 = 0 THEN lat + 0.002 ELSE lat END END AS lat, lng FROM project)"""
