@@ -9,6 +9,7 @@ from siltstone.model import views
 from siltstone.operators import fields as fields_op
 from siltstone.operators import resolution as resolution_op
 from siltstone.operators import review as op
+from siltstone.operators.ranking import numbered
 from siltstone.registry import query
 from siltstone.session import table
 
@@ -199,8 +200,8 @@ def comparison_order(spark, sf_dir):
     zip_code = F.regexp_extract(F.coalesce("address", "b_address"), r"(\d{5})$", 1)
     rows = _both(spark, sf_dir).select("project_id", op.compared(c("units"), c("b_units")).alias("units"), "address", zip_code.alias("zip"), F.date_add(F.lit("1999-01-01").cast("date"), (c("project_id") % 900).cast("int")).alias("seen"))
     rows = rows.filter(c("zip").isin("90001", "90005", "90011", "90021") & c("seen").between("1999-03-01", "2000-12-31"))
-    place = F.row_number().over(Window.partitionBy("zip").orderBy(F.when(c("units") == "match", 1).otherwise(0), c("address").asc_nulls_last(), "project_id"))
-    return rows.select("project_id", "units", place.alias("place"))
+    order = [F.when(c("units") == "match", 1).otherwise(0).asc(), c("address").asc_nulls_last(), c("project_id").asc()]
+    return numbered(rows, ["zip"], order, "place").select("project_id", "units", c("place").cast("int").alias("place"))
 
 
 @query(
@@ -395,7 +396,8 @@ def candidate_order(spark, sf_dir):
     """Candidates of a market and jurisdiction by layer, a chosen field (nulls last), likelihood and id."""
     (project,) = views(spark, sf_dir, "project")
     rows = project.select("project_id", "market_id", "jurisdiction_id", ((F.col("project_id") % 3).cast("int") + 1).alias("layer"), F.when(F.col("project_id") % 4 != 0, F.col("units")).alias("units"), "price")
-    return rows.select("project_id", F.row_number().over(Window.partitionBy("market_id", "jurisdiction_id").orderBy("layer", F.col("units").desc_nulls_last(), F.desc("price"), "project_id")).alias("place"))
+    order = [F.asc("layer"), F.col("units").desc_nulls_last(), F.desc("price"), F.asc("project_id")]
+    return numbered(rows, ["market_id", "jurisdiction_id"], order, "place").select("project_id", F.col("place").cast("int").alias("place"))
 
 
 @query(
@@ -407,9 +409,11 @@ def reviewed_orders(spark, sf_dir):
     """Each jurisdiction's reviewed items in each of the four orders offered."""
     (decisions,) = views(spark, sf_dir, "decision")
     rows = decisions.filter("state = 'committed'")
-    at = lambda *keys: F.row_number().over(Window.partitionBy("jurisdiction_id").orderBy(*keys))
-    newest = F.desc("decided_at")
-    return rows.select("item_id", at(newest, "item_id").alias("newest"), at("decided_at", "item_id").alias("oldest"), at("decision_type", newest, "item_id").alias("by_decider"), at("project_id", newest, "item_id").alias("by_project"))
+    rows, newest, item = rows.select("item_id", "project_id", "decided_at", "decision_type", "jurisdiction_id"), F.desc("decided_at"), F.asc("item_id")
+    orders = {"newest": [newest, item], "oldest": [F.asc("decided_at"), item], "by_decider": [F.asc("decision_type"), newest, item], "by_project": [F.asc("project_id"), newest, item]}
+    for name, order in orders.items():
+        rows = numbered(rows, ["jurisdiction_id"], order, name)
+    return rows.select("item_id", *[F.col(name).cast("int").alias(name) for name in orders])
 
 
 @query(
