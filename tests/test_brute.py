@@ -191,3 +191,19 @@ def test_canonicalise_developers(spark):
         "Quarry and Sons Inc": (4, "exact_alias"), "Quarry Brothers": found["Quarry Brothers"], "Zenith": (None, "new_registry_entry"), "Realty Group LLC": (5, "exact_alias"), "Atlas Residental Company": (2, "fuzzy_auto"),
     }
     assert found["Quarry Brothers"][1] in ("fuzzy_review", "new_registry_entry", "fuzzy_auto")
+
+
+def test_places_in_large_groups(spark):
+    """One group with most rows, a null group and ties broken by id: places as a plain sort gives them, from several ranges."""
+    from siltstone.operators.ranking import numbered
+
+    rng = Random(7)
+    rows = [(rng.choice(["hot"] * 9 + ["b", None]), rng.choice([None, 1, 2, 3]), i) for i in range(4000)]
+    frame = spark.createDataFrame(rows, "g string, v int, id long").repartition(6)
+    got = numbered(frame, ["g"], [F.desc_nulls_last("v"), F.asc("id")], "place").collect()
+    want = {}
+    for g in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is None, -(r[1] or 0), r[2]))
+        want |= {r[2]: k + 1 for k, r in enumerate(own)}
+    assert {r.id: r.place for r in got} == want and len(got) == len(rows)
+    assert numbered(frame.limit(0), ["g"], [F.asc("id")], "place").count() == 0
