@@ -1,9 +1,12 @@
 """What keeps the work of a query in step with its rows: tasks for all cores, steps computed once, pairs that are not made."""
 
+import duckdb
 from pyspark.sql import functions as F
 
+from siltstone import catalog
 from siltstone.functions import text
 from siltstone.model import views
+from siltstone.operators import matching
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,3 +23,26 @@ def test_steps_of_an_address_are_computed_once(spark):
     read = rows.select("a", text.address_parts(F.col("a"), market="los_angeles").alias("p"))
     assert read._jdf.queryExecution().analyzed().toString().count("split(upper(") == 1
     assert [tuple(r["p"]) for r in read.collect()] == [("12 NORTH MAIN STREET", "#4", "LOS ANGELES", "CA", "90012", "12 NORTH MAIN STREET LOS ANGELES CA 90012")] + 3 * [(None,) * 6]
+
+
+def test_permits_of_customers_with_long_keys(spark, tmp_path):
+    spark.sql("SELECT 130001L AS o_orderkey, 1234567L AS o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    rows = catalog.queries()["permit_and_parcel_numbers"](spark, str(tmp_path)).collect()
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{tmp_path}/orders.parquet/*.parquet')")
+        assert [tuple(r) for r in rows] == con.execute(catalog.oracle_sql()["permit_and_parcel_numbers"]).fetchall()
+
+
+def test_names_that_many_rows_bear_are_compared_once(spark):
+    subjects = spark.createDataFrame([(1, 1, "Ring Tower"), (2, 1, "tower ring"), (3, 2, "Ring"), (4, 1, None)], "subject_id long, market_id int, wanted string")
+    rows = spark.createDataFrame([(i, 1 + i % 2, ("Ring tower", "The hot bolt", "Ring Towers", None)[i % 4]) for i in range(40)], "project_id long, market_id int, name string")
+    compared = []
+    found = matching.similar_names(subjects, rows)
+    got = sorted(tuple(r) for r in found.collect())
+    for s in subjects.collect():
+        for p in rows.collect():
+            ratio = round(text.set_ratio(s["wanted"] or "", p["name"] or ""), 4)
+            if s["market_id"] == p["market_id"] and s["subject_id"] != p["project_id"] and ratio >= 85:
+                compared.append((s["subject_id"], p["project_id"], ratio))
+    assert got == sorted(compared) and len(got) > 20
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 2
