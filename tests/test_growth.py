@@ -46,3 +46,20 @@ def test_names_that_many_rows_bear_are_compared_once(spark):
                 compared.append((s["subject_id"], p["project_id"], ratio))
     assert got == sorted(compared) and len(got) > 20
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 2
+
+
+def test_hard_signals_of_single_ids_need_no_exchange_of_pairs(spark):
+    schema = "project_id long, market_id int, address string, name string, developer string, units int, product_type string, lat double, lng double"
+    rows = spark.createDataFrame([(i, i % 2, f"{i % 3} MAIN STREET", "n", "Dev, LLC", i % 4, "condo", 34.0 + i % 5 / 1000, -118.0) for i in range(40)], schema)
+    found = matching.hard_signals(rows.filter("project_id % 10 = 0"), rows)
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    twice = matching.hard_signals(rows.filter("project_id % 10 = 0"), rows.unionAll(rows))
+    got = sorted(tuple(r) for r in found.collect())
+    assert got == sorted(tuple(r) for r in twice.collect()) and len(got) == len(set(got)) > 40
+
+
+def test_rows_of_a_crowded_cell_are_dealt_out(spark):
+    points = spark.range(64).select("id", F.lit(34.0).alias("lat"), F.lit(-118.0).alias("lng"))
+    pairs = matching.within_radius(points.filter("id = 0").withColumnRenamed("id", "a"), points, 250.0)
+    assert pairs.count() == 64
+    assert "_part" in pairs._jdf.queryExecution().optimizedPlan().toString()
