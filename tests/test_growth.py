@@ -63,3 +63,20 @@ def test_rows_of_a_crowded_cell_are_dealt_out(spark):
     pairs = matching.within_radius(points.filter("id = 0").withColumnRenamed("id", "a"), points, 250.0)
     assert pairs.count() == 64
     assert "_part" in pairs._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_of_a_developer_meet_by_place_and_units_or_nearness(spark):
+    from random import Random
+
+    from siltstone.functions import scores
+
+    rng = Random(3)
+    rows = [(i, i % 2, rng.choice(["D", "E", None]), rng.choice([1, 2, None]), rng.choice([None, 0, -4, -3, 1, 3, 4, 9, 12, 16]), rng.choice(["a", "b"]), rng.choice([0, 1, 2, None]), rng.choice([34.0, 34.0006, 34.001, None]), rng.choice([-118.0, -118.0005])) for i in range(120)]
+    p = spark.createDataFrame(rows, "project_id long, market_id int, developer string, jurisdiction_id int, units int, product_type string, status_rank int, lat double, lng double")
+    s, c = p.withColumnsRenamed({x: f"s_{x}" for x in p.columns}), F.col
+    score = matching.fingerprint_score(c("s_developer") == c("developer"), c("s_jurisdiction_id") == c("jurisdiction_id"), scores.within_share(c("s_units"), c("units")), c("s_product_type") == c("product_type"), scores.within_one(c("s_status_rank"), c("status_rank")), scores.within_meters(c("s_lat"), c("s_lng"), c("lat"), c("lng")))
+    every = s.join(p, (c("s_market_id") == c("market_id")) & (c("s_developer") == c("developer")) & (c("s_project_id") != c("project_id")))
+    want = sorted(map(tuple, every.select("s_project_id", "project_id", score.alias("x")).filter("x >= 0.8").collect()))
+    found = matching.fingerprint_pairs(p, p)
+    assert sorted(map(tuple, found.collect())) == want and len(want) > 100
+    assert "_step" in found._jdf.queryExecution().optimizedPlan().toString()
