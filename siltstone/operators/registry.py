@@ -21,9 +21,17 @@ def meaningful_overlap(a: Column, b: Column, least: float = 80.0) -> Column:
     of the exact test stay built-in.
     """
     x, y = meaningful_tokens(a), meaningful_tokens(b)
-    long = lambda tokens: F.filter(tokens, lambda t: F.length(t) >= 4)
-    near = lambda s, t: F.levenshtein(s, t) <= (1 - least / 100) * (F.length(s) + F.length(t)) / 2
-    return F.coalesce(F.arrays_overlap(x, y) | F.exists(long(x), lambda s: F.exists(long(y), lambda t: near(s, t))), F.lit(False))
+    return F.coalesce(F.arrays_overlap(x, y) | F.exists(x, lambda s: F.exists(y, lambda t: _near_tokens(s, t, least))), F.lit(False))
+
+
+def _near_tokens(s: Column, t: Column, least: float = 80.0) -> Column:
+    """Whether two tokens of four characters or more are nearly equal."""
+    return (F.length(s) >= 4) & (F.length(t) >= 4) & (F.levenshtein(s, t) <= (1 - least / 100) * (F.length(s) + F.length(t)) / 2)
+
+
+def _plain_tokens(name: str) -> Column:
+    """A name's distinct meaningful tokens in order, to compare names by."""
+    return F.array_sort(F.array_distinct(meaningful_tokens(F.col(name))))
 
 
 def safe_alias(canonical: Column, alias: Column) -> Column:
@@ -53,19 +61,27 @@ def fuzzy_matches(raw: DataFrame, names: DataFrame, review: float = 75.0, auto:
 
     Names meet by a meaningful token or by a run of three letters of one (tokens that are
     nearly equal share one), within which the overlap is tested; only pairs that pass reach
-    the ratio.
+    the ratio. Of the developers that share a name, a canonical name and their tier, the one of
+    least id stands for all; and distinct meaningful tokens and normal names are compared, so
+    that a name costs the same however many rows bear it.
     """
-
-    def blocks(df: DataFrame, c: str) -> DataFrame:
-        runs = lambda t: F.when(F.length(t) >= 4, F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substring(t, i, F.lit(3)))).otherwise(F.array(t))
-        return df.select("*", F.explode(F.array_distinct(F.flatten(F.transform(meaningful_tokens(F.col(c)), runs)))).alias("_k"))
-
-    met = blocks(raw.select("raw_name"), "raw_name").join(blocks(names, "name"), "_k").drop("_k").distinct()
-    met = met.filter(meaningful_overlap(F.col("raw_name"), F.col("name"))).withColumn("score", F.round(token_set_ratio(developer_name(F.col("raw_name")), developer_name(F.col("name"))), 4))
-    each = met.groupBy("raw_name", "developer_id").agg(F.max("score").alias("score"), F.first("canonical_name").alias("canonical_name"), F.first("top_tier").alias("top_tier"))
-    rank = F.row_number().over(Window.partitionBy("raw_name").orderBy(F.desc("score"), preference(F.col("canonical_name"), F.col("top_tier")), "developer_id"))
-    best = each.withColumn("_r", rank).filter((F.col("_r") == 1) & (F.col("score") >= review))
-    return best.select("raw_name", "developer_id", "canonical_name", F.when(F.col("score") >= auto, "fuzzy_auto").otherwise("fuzzy_review").alias("match_type"), "score")
+    few = names.groupBy("name", "canonical_name", "top_tier").agg(F.min("developer_id").alias("developer_id"))
+    bearers = few.select("*", _plain_tokens("name").alias("_y"), developer_name(F.col("name")).alias("_b"))
+    asked = raw.select("raw_name", _plain_tokens("raw_name").alias("_x"), developer_name(F.col("raw_name")).alias("_a"))
+    x, y = (rows.select(c, F.explode(c).alias(t)).distinct() for rows, c, t in ((asked, "_x", "_s"), (bearers, "_y", "_t")))
+    runs = lambda t: F.when(F.length(t) >= 4, F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substring(t, i, F.lit(3)))).otherwise(F.array(t))
+    keyed = lambda rows, t: rows.select(t).distinct().select(t, F.explode(F.array_distinct(runs(F.col(t)))).alias("_k"))
+    alike = keyed(x, "_s").join(keyed(y, "_t"), "_k").filter((F.col("_s") == F.col("_t")) | _near_tokens(F.col("_s"), F.col("_t"))).select("_s", "_t").distinct()
+    pairs = x.join(alike, "_s").join(y, "_t").select("_x", "_y").distinct()
+    normal = asked.select("_x", "_a").distinct().join(pairs, "_x").join(bearers.select("_y", "_b").distinct(), "_y")
+    scored = normal.select("_a", "_b").distinct().withColumn("score", F.round(token_set_ratio(F.col("_a"), F.col("_b")), 4)).filter(F.col("score") >= review)
+    # the best score of a name's tokens and normal form comes first, so only bearers of it are ranked
+    top = normal.select("_x", "_y", "_a", "_b").distinct().join(scored, ["_a", "_b"])
+    best_score = F.max("score").over(Window.partitionBy("_x", "_a"))
+    top = top.withColumn("_m", best_score).filter("score = _m").select("_x", "_a", "_y", "_b", "score")
+    held = bearers.withColumn("_p", F.struct(preference(F.col("canonical_name"), F.col("top_tier")).alias("p"), "developer_id")).groupBy("_y", "_b").agg(F.min_by(F.struct("developer_id", "canonical_name"), "_p").alias("d"), F.min("_p").alias("_p"))
+    won = top.join(held, ["_y", "_b"]).groupBy("_x", "_a", "score").agg(F.min_by("d", "_p").alias("d"))
+    return asked.join(won, ["_x", "_a"]).select("raw_name", "d.developer_id", "d.canonical_name", F.when(F.col("score") >= auto, "fuzzy_auto").otherwise("fuzzy_review").alias("match_type"), "score")
 
 
 def canonicalised(raw: DataFrame, registry: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -80,3 +80,13 @@ def test_rows_of_a_developer_meet_by_place_and_units_or_nearness(spark):
     found = matching.fingerprint_pairs(p, p)
     assert sorted(map(tuple, found.collect())) == want and len(want) > 100
     assert "_step" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_developers_of_one_name_are_compared_once(spark):
+    from siltstone.operators import registry
+
+    raw = spark.createDataFrame([("Boreallis Homes",), ("Atlas Residental",), ("Zenith",)], "raw_name string")
+    names = spark.createDataFrame([(i, f"{n} LLC", i % 3 == 0, n, False) for i in range(200, 0, -1) for n in (["Borealis Homes", "Atlas Residential"][i % 2],)], "developer_id long, canonical_name string, top_tier boolean, name string, is_alias boolean")
+    found = registry.fuzzy_matches(raw, names)
+    assert {r.raw_name: (r.developer_id, r.match_type) for r in found.collect()} == {"Boreallis Homes": (6, "fuzzy_auto"), "Atlas Residental": (3, "fuzzy_auto")}
+    assert "min(developer_id" in found._jdf.queryExecution().optimizedPlan().toString()
