@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import has_zip
@@ -30,23 +30,34 @@ def address_composite(references: DataFrame, projects: DataFrame, confirmed: flo
 
     An equal address is .50, one that adds a ZIP .40 (only where none is equal); the name
     adds .15, the developer .20, units within a quarter .05. The top one is confirmed if it
-    is alone at the top and reaches `confirmed`.
+    is alone at the top and reaches `confirmed`. References that agree in all that is compared
+    meet, once for all of them, projects that agree in it, with their number and least id, so
+    that copies make no pairs; nothing is broadcast.
     """
-    p = projects.select("project_id", "market_id", F.col("address").alias("_a"), F.col("name").alias("_n"), F.col("developer").alias("_d"), F.col("units").alias("_u")).filter("_a IS NOT NULL")
-    want = references.filter("address IS NOT NULL")
-    equal = want.join(p.withColumnRenamed("_a", "address"), ["market_id", "address"]).withColumn("_base", F.lit(0.50))
-    rest = want.filter(~has_zip(F.col("address"))).join(equal.select("reference_id").distinct(), "reference_id", "left_anti")
-    bare = p.filter(has_zip(F.col("_a"))).withColumn("address", F.regexp_replace("_a", r" \d{5}$", "")).drop("_a")
-    both = equal.unionByName(rest.join(bare, ["market_id", "address"]).withColumn("_base", F.lit(0.40)), allowMissingColumns=True)
+    seen = lambda rows: rows.filter("address IS NOT NULL").withColumns({"name": F.lower("name"), "developer": F.lower("developer")})
+    place, compared = ["market_id", "address"], ["name", "developer", "units"]
+    p = seen(projects).groupBy(*place, *[F.col(c).alias(f"_{c}") for c in compared]).agg(F.min("project_id").alias("project_id"), F.count(F.lit(1)).alias("_k"))
+    want = seen(references).select(*place, *compared).distinct()
+    equal = want.join(p.hint("merge"), place).withColumn("_base", F.lit(0.50))
+    rest = want.filter(~has_zip(F.col("address"))).join(p.select(*place).distinct().hint("merge"), place, "left_anti")
+    bare = p.filter(has_zip(F.col("address"))).withColumn("address", F.regexp_replace("address", r" \d{5}$", ""))
+    both = equal.unionByName(rest.join(bare.hint("merge"), place).withColumn("_base", F.lit(0.40)))
     adds = lambda when, value: F.when(F.coalesce(when, F.lit(False)), value).otherwise(0.0)
-    near = F.try_divide(F.abs(F.col("units") - F.col("_u")), F.greatest("units", "_u")) <= 0.25
-    score = F.round(F.col("_base") + adds(F.lower("name") == F.lower("_n"), 0.15) + adds(F.lower("developer") == F.lower("_d"), 0.20) + adds(near, 0.05), 6)
-    scored = both.select("reference_id", "project_id", score.alias("score"))
-    by_score = Window.partitionBy("reference_id").orderBy(F.desc("score"), "project_id")
-    top = scored.withColumn("_r", F.row_number().over(by_score)).withColumn("_top", F.max("score").over(Window.partitionBy("reference_id")))
-    best = top.groupBy("reference_id").agg(F.min(F.when(F.col("_r") == 1, F.col("project_id"))).alias("project_id"), F.max("score").alias("score"), F.count_if(F.col("score") == F.col("_top")).alias("_alone"), F.count(F.lit(1)).alias("candidates"))
+    near = F.try_divide(F.abs(F.col("units") - F.col("_units")), F.greatest("units", "_units")) <= 0.25
+    score = F.round(F.col("_base") + adds(F.col("name") == F.col("_name"), 0.15) + adds(F.col("developer") == F.col("_developer"), 0.20) + adds(near, 0.05), 6)
+    scored = both.select(*place, *compared, score.alias("score"), "project_id", F.col("_k").alias("_alone"), F.col("_k").alias("candidates"))
+
+    def best(rows: DataFrame, *keys: str) -> DataFrame:
+        """The top score of each key, how many projects have it, the least of them, and how many there are in all."""
+        each = rows.groupBy(*keys, "score").agg(F.min("project_id").alias("project_id"), F.sum("_alone").alias("_alone"), F.sum("candidates").alias("candidates"))
+        top = each.groupBy(*keys).agg(F.max_by(F.struct("project_id", "_alone"), "score").alias("_b"), F.max("score").alias("score"), F.sum("candidates").alias("candidates"))
+        return top.select(*keys, "_b.*", "score", "candidates")
+
+    tops = best(scored, *place, *compared).filter(F.col("score") >= possible).withColumnsRenamed({c: f"_{c}" for c in place + compared})
+    same = [F.col(c) == F.col(f"_{c}") for c in place] + [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in compared]
+    found = best(seen(references).select("reference_id", *place, *compared).join(tops.hint("merge"), same), "reference_id")
     status = F.when((F.col("score") >= confirmed) & (F.col("_alone") == 1), "confirmed").otherwise("possible")
-    return best.filter(F.col("score") >= possible).select("reference_id", status.alias("status"), F.when(status == "confirmed", F.col("project_id")).alias("project_id"), "score", "candidates")
+    return found.select("reference_id", status.alias("status"), F.when(status == "confirmed", F.col("project_id")).alias("project_id"), "score", "candidates")
 
 
 def identifier_step(identifiers: DataFrame, owned: DataFrame) -> DataFrame:
@@ -63,7 +74,7 @@ def identifier_step(identifiers: DataFrame, owned: DataFrame) -> DataFrame:
 
 def hint_step(hints: DataFrame, projects: DataFrame, score: float = 0.96) -> DataFrame:
     """(reference_id, status, project_id, score): references for which the extraction named a project that exists."""
-    known = hints.join(projects.select("project_id"), "project_id").groupBy("reference_id").agg(F.min("project_id").alias("project_id"))
+    known = hints.join(projects.select("project_id").hint("merge"), "project_id").groupBy("reference_id").agg(F.min("project_id").alias("project_id"))
     return known.select("reference_id", F.lit("confirmed").alias("status"), "project_id", F.lit(score).alias("score"))
 
 
@@ -74,7 +85,7 @@ def ladder(references: DataFrame, steps: list[tuple[str, DataFrame]], strong: Co
     """
     out = references
     for name, found in steps:
-        out = out.join(found.select("reference_id", F.struct(F.lit(name).alias("step"), "status", "project_id", "score").alias(f"_{name}")), "reference_id", "left")
+        out = out.join(found.select("reference_id", F.struct(F.lit(name).alias("step"), "status", "project_id", "score").alias(f"_{name}")).hint("merge"), "reference_id", "left")
     first = F.coalesce(*[F.col(f"_{name}") for name, _ in steps])
     rest = F.when(strong, "new_candidate").otherwise("discarded")
     return out.select("reference_id", F.coalesce(first["step"], rest).alias("step"), F.coalesce(first["status"], rest).alias("status"), first["project_id"].alias("project_id"), first["score"].alias("score"))

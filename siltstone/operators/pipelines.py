@@ -41,12 +41,12 @@ def integrate(references: DataFrame, projects: DataFrame, existing: DataFrame, c
     matched = news.address_composite(current, projects)
     strong = F.col("units").isNotNull() & (F.col("units") >= 10) & F.col("developer").isNotNull()
     routed = news.ladder(current, [("address", matched.select("reference_id", "status", "project_id", "score"))], F.coalesce(strong, F.lit(False)))
-    rows = current.drop("project_id").join(routed, "reference_id")
+    rows = current.drop("project_id").join(routed.hint("merge"), "reference_id")
     writes = sinks.evidence_writes(rows.filter("status = 'confirmed'").select(F.col("reference_id").alias("evidence_id"), "project_id", F.lit("news_article").alias("source_type"), F.col("article_id").cast("string").alias("record_id"), "hash"), existing)
-    became = routed.join(writes.select(F.col("evidence_id").alias("reference_id"), "action"), "reference_id", "left")
+    became = routed.join(writes.select(F.col("evidence_id").alias("reference_id"), "action").hint("merge"), "reference_id", "left")
     now = projects.select("project_id", F.col("units").alias("_u"))
-    cards = rows.filter("status = 'confirmed'").join(now, "project_id").filter(F.coalesce(F.col("units") != F.col("_u"), F.lit(False)))
-    cards = cards.select("project_id", F.lit("units").alias("field"), F.col("units").alias("proposed")).distinct().join(carded, ["project_id", "field"], "left_anti")
+    cards = rows.filter("status = 'confirmed'").join(now.hint("merge"), "project_id").filter(F.coalesce(F.col("units") != F.col("_u"), F.lit(False)))
+    cards = cards.select("project_id", F.lit("units").alias("field"), F.col("units").alias("proposed")).distinct().join(carded.hint("merge"), ["project_id", "field"], "left_anti")
     return became.select("reference_id", "step", "status", "project_id", "action"), cards
 
 
@@ -59,19 +59,19 @@ def integrate_current(references: DataFrame, identifiers: DataFrame, owned: Data
     open; of several references that differ alike, one.
     """
     current = news.current_references(references)
-    mine = lambda rows: rows.join(current.select("reference_id"), "reference_id", "left_semi")
+    mine = lambda rows: rows.join(current.select("reference_id").hint("merge"), "reference_id", "left_semi")
     composite = news.address_composite(current, projects).select("reference_id", "status", "project_id", "score")
     strong = F.col("units").isNotNull() & (F.col("units") >= 10) & F.col("developer").isNotNull()
     steps = [("identifier", news.identifier_step(mine(identifiers), owned)), ("hint", news.hint_step(mine(hints), projects)), ("address", composite)]
     routed = news.ladder(current, steps, F.coalesce(strong, F.lit(False)))
-    confirmed = current.drop("project_id").join(routed.filter("status = 'confirmed'"), "reference_id")
+    confirmed = current.drop("project_id").join(routed.filter("status = 'confirmed'").hint("merge"), "reference_id")
     evidence = confirmed.select(F.col("reference_id").alias("evidence_id"), "project_id", F.lit("news_article").alias("source_type"), F.col("article_id").cast("string").alias("record_id"), "hash")
-    became = routed.join(sinks.evidence_writes(evidence, existing).select(F.col("evidence_id").alias("reference_id"), "action"), "reference_id", "left")
+    became = routed.join(sinks.evidence_writes(evidence, existing).select(F.col("evidence_id").alias("reference_id"), "action").hint("merge"), "reference_id", "left")
     now = projects.select("project_id", F.col("units").cast("string").alias("_units"), F.col("developer").alias("_developer"))
-    both = confirmed.join(now, "project_id")
+    both = confirmed.join(now.hint("merge"), "project_id")
     differs = lambda f, old: F.when(F.coalesce(F.lower(F.trim(F.col(f).cast("string"))) != F.lower(F.trim(old)), F.lit(False)), F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("proposed")))
     cards = both.select("project_id", F.inline(F.array_compact(F.array(differs("units", F.col("_units")), differs("developer", F.col("_developer")))))).distinct()
-    return became.select("reference_id", "step", "status", "project_id", "action"), cards.join(carded, ["project_id", "field"], "left_anti")
+    return became.select("reference_id", "step", "status", "project_id", "action"), cards.join(carded.hint("merge"), ["project_id", "field"], "left_anti")
 
 
 def scrape_counters(outcomes: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ def evidence_writes(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     fresh = incoming.withColumn("_r", F.row_number().over(first))
     known = existing.groupBy(*key).agg(F.max("project_id").alias("_owner"), F.lit(True).alias("_known"))
     action = F.when(F.col("_r") > 1, "skip").when(F.col("_known").isNull(), "insert").when(F.col("_owner").isNull() & F.col("project_id").isNotNull(), "link").otherwise("skip")
-    return fresh.join(known, key, "left").select("evidence_id", "project_id", action.alias("action"))
+    return fresh.join(known.hint("merge"), key, "left").select("evidence_id", "project_id", action.alias("action"))
 
 
 def record_upsert(incoming: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:

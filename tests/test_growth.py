@@ -65,6 +65,19 @@ def test_rows_of_a_crowded_cell_are_dealt_out(spark):
     assert "_part" in pairs._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_alike_references_and_projects_make_no_pairs(spark):
+    from siltstone.operators import news
+
+    schema = "market_id int, address string, name string, developer string, units int"
+    alike = [(1, "1 A ST", "N", "D", 10)] * 300 + [(1, "1 A ST 90001", "n", None, 12)] * 300 + [(2, "1 A ST", None, "d", 10)] * 2
+    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(alike)], f"project_id long, {schema}")
+    found = news.address_composite(rows.withColumnRenamed("project_id", "reference_id"), rows)
+    got = {r.reference_id: (r.status, r.project_id, r.score, r.candidates) for r in found.collect()}
+    assert got == {i: ("possible", None, 0.9, 300) for i in range(300)} | {i: ("possible", None, 0.7, 300) for i in range(300, 600)} | {i: ("possible", None, 0.75, 2) for i in (600, 601)}
+    joins = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString() and joins.count("Aggregate [") >= 6
+
+
 def test_rows_of_a_developer_meet_by_place_and_units_or_nearness(spark):
     from random import Random
 
