@@ -31,9 +31,9 @@ def _as_of():
     return F.lit(_DAY).cast("date")
 
 
-def _resolved(spark, sf_dir):
+def _resolved(spark, sf_dir, fields=_FIELDS, also=()):
     project, evidence = views(spark, sf_dir, "project", "fielded")
-    return op.all_fields(project, evidence.filter("NOT superseded"), _FIELDS, _as_of())
+    return op.all_fields(project, evidence.filter("NOT superseded"), fields, _as_of(), also)
 
 
 @query(f"WITH {_OBSERVED} SELECT project_id, field, value, confidence, rule, CAST(day AS VARCHAR) AS day, tier, source_type, evidence_id FROM resolved", "project", "fielded")

@@ -23,7 +23,7 @@ _BASE = f"""{_OBSERVED}, cnt AS (SELECT project_id, CAST(max({_EFF}) AS VARCHAR)
 def units_worksheet(spark, sf_dir):
     """The review worksheet of units."""
     project, evidence = views(spark, sf_dir, "project", "fielded")
-    return op.units_worksheet(project, evidence.filter("NOT superseded"), _resolved(spark, sf_dir))
+    return op.units_worksheet(project, evidence.filter("NOT superseded"), _resolved(spark, sf_dir, ["units"], op.WON))
 
 
 @query(
@@ -37,7 +37,7 @@ def developer_worksheet(spark, sf_dir):
     number = F.regexp_extract("developer", r"^Developer (\d+), LLC$", 1).try_cast("int")
     registry = evidence.select(number.alias("developer_id")).filter("developer_id % 3 = 0").distinct().select("developer_id", F.concat(F.lit("Developer "), F.col("developer_id"), F.lit(" Inc")).alias("canonical_name"), F.lit(False).alias("top_tier"))
     names = exact_matches(evidence.select(F.col("developer").alias("raw_name")).distinct(), registry_names(registry, registry.select("developer_id", F.col("canonical_name").alias("alias")).limit(0)))
-    return op.developer_worksheet(project, evidence.filter("NOT superseded"), _resolved(spark, sf_dir), names)
+    return op.developer_worksheet(project, evidence.filter("NOT superseded"), _resolved(spark, sf_dir, ["developer"], op.WON), names)
 
 
 @query(
