@@ -53,6 +53,7 @@ def evidence_ledger(spark, sf_dir):
     """Evidence written in three batches, the second of them twice, and read back with the projects that it was linked to."""
     rows = _evidence(spark, sf_dir)
     ledger = new_ledger(spark, rows, op.EVIDENCE_KEYS)
+    rows = rows.checkpoint()  # each batch reads its rows several times
     for batch in (0, 1, 1, 2):
         ledger.add(batch, rows.filter(F.floor(F.col("evidence_id") / 10_000_000) % 3 == batch), op.evidence_decisions, "feed")
     return op.evidence_state(ledger.rows()).select(F.concat_ws("|", *op.EVIDENCE_KEYS).alias("k"), "evidence_id", "project_id", "batch")
