@@ -103,3 +103,26 @@ def test_developers_of_one_name_are_compared_once(spark):
     found = registry.fuzzy_matches(raw, names)
     assert {r.raw_name: (r.developer_id, r.match_type) for r in found.collect()} == {"Boreallis Homes": (6, "fuzzy_auto"), "Atlas Residental": (3, "fuzzy_auto")}
     assert "min(developer_id" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_that_many_rows_bear_are_compared_once(spark):
+    from random import Random
+
+    rng = Random(5)
+    grams = lambda t: {f"  {w} "[i : i + 3] for w in "".join(c if c.isalnum() else " " for c in (t or "").lower()).split() for i in range(len(w) + 1)}
+    alike = lambda a, b: len(grams(a) & grams(b)) / len(grams(a) | grams(b)) if grams(a) | grams(b) else 0.0
+    rows = [(i, rng.choice([1, 1, 1, 2, None]), rng.choice(["1 Oak St", "2 Oak St", "17 Elm Road", "zzz", "", None]), rng.choice(["small ring", "hot bolt", "ring", "ring bolt", None])) for i in range(300)]
+    p = spark.createDataFrame(rows, "project_id long, market_id int, address string, name string")
+    s = p.filter("project_id % 3 = 0").withColumnRenamed("project_id", "subject_id")
+    got = {}
+    for r in matching.top_similar(s, p, "subject_id", "project_id", ["address", "name"], ["market_id"], most=5, ranked="r").collect():
+        got.setdefault(r.subject_id, {})[r.r] = (r.project_id, round(r.total, 9))
+    want = {}
+    for i, m, a, n in rows[::3]:
+        totals = {j: sum(x for x in (alike(a, b), alike(n, o)) if x >= 0.12) for j, k, b, o in rows if j != i and m is not None and k == m}
+        best = sorted(((-round(x, 9), j) for j, x in totals.items() if x > 0))[:5]
+        if best:
+            want[i] = {k: (j, -x) for k, (x, j) in enumerate(best, 1)}
+    assert got == want and len(want) > 50
+    pairs = matching.similar_texts(s, p, "address", ["market_id"], 0.12, 500_000)
+    assert pairs.count() == len(pairs.select("market_id", "_s", "_p").distinct().collect()) <= 2 * 36
