@@ -126,3 +126,31 @@ def test_texts_that_many_rows_bear_are_compared_once(spark):
     assert got == want and len(want) > 50
     pairs = matching.similar_texts(s, p, "address", ["market_id"], 0.12, 500_000)
     assert pairs.count() == len(pairs.select("market_id", "_s", "_p").distinct().collect()) <= 2 * 36
+
+
+_COPIED = "project_id long, market_id int, address string, name string, developer string, units int, product_type string, lat double, lng double"
+
+
+def test_candidates_of_copies_are_made_by_class(spark):
+    kinds = [(1, "1 OAK ST", "a tower", "D LLC", 10, "condo"), (1, None, "b tower", "D", 12, None), (1, "2 OAK ST", None, "E", None, "condo")]
+    rows = spark.createDataFrame([(i, *kinds[i % 3], 34.0, -118.0) for i in range(120)], _COPIED)
+    assert matching.classes(rows, rows.columns[1:]).count() == 3
+    got = {}
+    for r in matching.layered_candidates(rows, rows).collect():
+        got.setdefault(r.subject_id, []).append((r["rank"], r.project_id, r.layer, r.likelihood))
+    assert len(got) == 120
+    for i, found in got.items():
+        score = {j % 3: x for _, j, _, x in found}
+        own = [j for j in range(i % 3, 120, 3) if j != i][:25]
+        assert [(k, j, layer) for k, j, layer, _ in sorted(found)] == [(k, j, 1) for k, j in enumerate(own, 1)] and score == {i % 3: 1.0}
+
+
+def test_hard_signals_of_copies_are_found_once(spark):
+    rows = spark.createDataFrame([(i, 1, "1 OAK ST", "n", "D", 10, "condo", 34.0, -118.0) for i in range(300)], _COPIED)
+    found = matching.hard_signals(rows.filter("project_id < 2"), rows)
+    assert found.groupBy("name").count().count() == 3 and found.count() == 3 * 2 * 299
+    of = matching.classes(rows, rows.columns[1:], size=100)
+    s = matching.compared(of, "s_")
+    pairs = matching.agreements(s, matching.compared(of, "p_"), F.col("s_c"), F.col("p_c"))
+    assert pairs.count() == 3 and of.first()["_k"] == 3
+    assert {r["_part"] for r in matching.members(rows, of, rows.columns[1:]).collect()} == {0, 1, 2}
