@@ -154,3 +154,30 @@ def test_hard_signals_of_copies_are_found_once(spark):
     pairs = matching.agreements(s, matching.compared(of, "p_"), F.col("s_c"), F.col("p_c"))
     assert pairs.count() == 3 and of.first()["_k"] == 3
     assert {r["_part"] for r in matching.members(rows, of, rows.columns[1:]).collect()} == {0, 1, 2}
+
+
+def test_texts_of_many_rows_are_read_once(spark):
+    from siltstone.operators import extraction
+
+    texts = ["A 20-unit senior housing project at 586 North Main Street, Los Angeles, CA 90016 in March", None, "It opens in Q1 2027.", ""]
+    rows = spark.createDataFrame([(i, texts[i % 4]) for i in range(40)], "id long, body string")
+    read = extraction.matches_of_texts(rows, "id", "body", most=4)
+    assert sorted(tuple(r) for r in read.withColumn("id", F.explode("id")).collect()) == sorted(tuple(r) for r in extraction.matches(rows, "id", "body").collect())
+    assert {len(r.id) for r in read.collect()} == {4, 2} and {len(r.id) for r in extraction.matches_of_texts(rows, "id", "body").collect()} == {10}
+    once = extraction.signals(rows, "id", "body")
+    assert "Deduplicate" not in once._jdf.queryExecution().analyzed().toString() and once.count() == 40
+    twice = extraction.signals(rows.unionAll(rows), "id", "body")
+    assert sorted(map(str, twice.collect())) == sorted(map(str, once.collect()))
+
+
+def test_articles_of_one_body_by_sql(spark, tmp_path):
+    for name in ("structural_signals", "signals_by_sql", "structural_disagreement_values"):
+        small = {r for r in catalog.queries()[name](spark, SF).collect()}
+        orders = spark.read.parquet(f"{SF}/orders.parquet")
+        # keys a period of the model's texts later: each body and title comes twice
+        shift = 900 * 9000 * 10 * 7
+        later = orders.withColumn("o_orderkey", F.col("o_orderkey") + shift)
+        later.unionByName(orders).write.mode("overwrite").parquet(f"{tmp_path}/orders.parquet")
+        got = catalog.queries()[name](spark, str(tmp_path)).collect()
+        plain = lambda r: tuple(v % shift if k == "article_id" else v for k, v in r.asDict().items())
+        assert len(got) == 2 * len(small) and {plain(r) for r in got} == {tuple(r) for r in small}
