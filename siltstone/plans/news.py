@@ -124,8 +124,9 @@ def permits_for_parcel(spark, sf_dir):
 @query("SELECT article_id, 'townhome' AS stated, 'senior' AS age, CAST(20 + article_id % 900 AS VARCHAR) AS units FROM article", "article")
 def structural_disagreement_values(spark, sf_dir):
     """Per article the first signal of each extractor that a field is compared with."""
-    (articles,) = views(spark, sf_dir, "article", spread_by="o_orderkey")
-    found = extraction_op.signals(articles, "article_id", "body").groupBy("article_id").agg(F.array_sort(F.collect_list(F.struct("start", "extractor", "canonical"))).alias("s"))
+    (articles,) = views(spark, sf_dir, "article")
+    wanted = F.col("extractor").isin("product_type_phrase", "age_restriction_phrase", "unit_count")
+    found = extraction_op.signals(articles, "article_id", "body").groupBy("article_id").agg(F.array_sort(F.collect_list(F.when(wanted, F.struct("start", "extractor", "canonical")))).alias("s"))
     first = lambda *names: op.first_signal(F.col("s"), list(names))
     return found.select("article_id", first("product_type_phrase").alias("stated"), first("age_restriction_phrase").alias("age"), first("unit_count").alias("units"))
 
