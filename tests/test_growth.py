@@ -181,3 +181,9 @@ def test_articles_of_one_body_by_sql(spark, tmp_path):
         got = catalog.queries()[name](spark, str(tmp_path)).collect()
         plain = lambda r: tuple(v % shift if k == "article_id" else v for k, v in r.asDict().items())
         assert len(got) == 2 * len(small) and {plain(r) for r in got} == {tuple(r) for r in small}
+
+
+def test_every_project_is_a_subject(spark):
+    for name, n in (("radius_join_250m", 200), ("layered_dedup_sweep", 200)):
+        assert catalog.queries()[name](spark, SF).select("subject_id").distinct().count() > 0.5 * n, name
+    assert "% 100" not in catalog.oracle_sql()["radius_join_250m"].split("WITH", 1)[1].split("SELECT s.project_id", 1)[1]
